@@ -1,7 +1,7 @@
 """Token ids as flat unsigned integer files with 64-bit document offsets.
 
-A folder holds one pair of files a partition, in ascending id order: `.ids` (little-endian unsigned 32-bit ids, documents one after
-another) and `.docs` (64-bit pairs: document id, ids before it in the file), and `manifest.json`, which names the pairs that count, in order, each
+A folder holds one pair of files a partition, in ascending id order: `.ids` (little-endian unsigned ids, documents one after
+another; 16-bit where the tokenizer's ids fit, else 32-bit) and `.docs` (64-bit pairs: document id, ids before it in the file), and `manifest.json`, which names the pairs that count, in order, each
 with its base: the ids in all pairs before it, by prefix sums over partitions. Readers map the files into memory and need no other part.
 A task writes under a new name on each attempt; the manifest names the attempts whose rows Spark kept, so lost executors and
 repeated tasks leave no trace in the result.
@@ -34,7 +34,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, i
     short_batches(spark)
     fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
-    end = np.array([end_id], "<u4").tobytes()
+    dtype = encoder(tokenizer).dtype
+    end = np.array([end_id], dtype).tobytes()
+    width = len(end)
 
     def write(batches):
         part, name = TaskContext.get().partitionId(), None
@@ -48,7 +50,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, i
                 ids, offsets = fs.open_output_stream(f"{root}/{name}.ids"), fs.open_output_stream(f"{root}/{name}.docs")
             doc = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             coded = [x + end for x in encoder(tokenizer).encoded(batch.column(1).to_pylist())]
-            size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+            size = np.fromiter(map(len, coded), np.int64, len(coded)) // width
             offsets.write(np.stack([doc, n_ids + np.cumsum(size) - size], axis=1).astype("<i8").tobytes())
             for x in coded:
                 ids.write(x)
@@ -66,14 +68,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, i
         pairs.append(row.asDict() | {"base": base})
         base += row.n_ids
     with fs.open_output_stream(f"{root}/manifest.json") as f:
-        f.write(json.dumps({"dtype": "<u4", "end_id": end_id, "n_ids": base, "pairs": pairs}).encode())
+        f.write(json.dumps({"dtype": dtype, "end_id": end_id, "n_ids": base, "pairs": pairs}).encode())
     return pairs
 
 
-def read_manifest(path: str) -> list[dict]:
+def read_manifest(path: str) -> dict:
     fs, root = filesystem(path)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
-        return json.loads(f.read())["pairs"]
+        return json.loads(f.read())
 
 
 def _mapped(path: str, suffix: str, dtype: str) -> np.ndarray:
@@ -85,8 +87,9 @@ def _mapped(path: str, suffix: str, dtype: str) -> np.ndarray:
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """Per document: doc_id, start (ids before it in the whole folder), n_tokens, ids_crc32; with_ids: also ids."""
-    pairs = read_manifest(path)
+    """Per document: doc_id, start (ids before it in the whole folder), n_tokens, ids_crc32 (of the ids as 32-bit integers); with_ids: also ids."""
+    manifest = read_manifest(path)
+    pairs, dtype = manifest["pairs"], manifest["dtype"]
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
     def read(batches):
@@ -94,12 +97,12 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
             for k in batch.column(0).to_pylist():
                 pair = pairs[k]
                 docs = _mapped(f"{path}/{pair['name']}", ".docs", "<i8").reshape(-1, 2)
-                ids = _mapped(f"{path}/{pair['name']}", ".ids", "<u4")
+                ids = _mapped(f"{path}/{pair['name']}", ".ids", dtype)
                 assert len(docs) == pair["n_docs"] and len(ids) == pair["n_ids"], "a file is cut short"
                 edge = np.append(docs[:, 1], len(ids))
                 for a in range(0, len(docs), 2000):
                     b = min(a + 2000, len(docs))
-                    crc = [zlib.crc32(ids[edge[i] : edge[i + 1]]) for i in range(a, b)]
+                    crc = [zlib.crc32(ids[edge[i] : edge[i + 1]].astype("<u4")) for i in range(a, b)]
                     doc = docs[a:b, 0]
                     out = {"doc_id": pa.array(doc, pa.int64(), mask=doc == NULL_ID), "start": pa.array(pair["base"] + edge[a:b]), "n_tokens": pa.array(np.diff(edge[a : b + 1])), "ids_crc32": pa.array(crc, pa.int64())}
                     if with_ids:
