@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tarn.sources.shared import materialize
+
 #: Least similarity of two names that are one, and most years between two birth years that may be one.
 THRESHOLD, YEARS = 92.0, 1
 
@@ -80,15 +80,17 @@ def eligibility(from_source: Column, n_matches: Column) -> Column:
 def candidates(left: DataFrame, right: DataFrame, name: str = "name", year: str = "birth_year", threshold: float = THRESHOLD, within: int = YEARS) -> DataFrame:
     """Pairs (left_id, left_order, right_id, right_order, score) of similar names with agreeing years. Both sides have id, order, name and year.
 
-    Pairs come from shared keys, not from a cross join. A pair of 92 or more either has a common word, or is two near-equal texts; those
-    differ by few insertions and deletions, so of the parts that the longer text is cut into one more than these stays whole in the
-    other. Keys are words and grams of 3 characters (2 in names that are shorter); each pair is scored once."""
+    Pairs come from shared keys, not from a cross join: a common word, or three letters in a row of the sorted words without spaces. That keeps
+    every pair. With a common word it is a key. Without one the sorted texts themselves reach the threshold, so with the longer one of L characters
+    they differ by d <= 0.16 L insertions and deletions; each word differs, so there are at most d words, and 0.84 L letters at least; of their
+    0.84 L - 2 letter triples 3 d <= 0.48 L are touched, and 0.36 L - 2 > 0 stay, as texts that differ by one need L >= 6."""
+    assert threshold >= 92, "the keys are proven for this threshold"
 
     def keys(df, side):
-        bare = F.regexp_replace(name, " ", "")
+        words = F.array_sort(F.array_distinct(F.filter(F.split(name, " "), lambda w: w != "")))
+        bare = F.array_join(words, "")
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 2, F.lit(1))), lambda i: F.concat(F.lit("#"), F.substring(bare, i, F.lit(3))))
-        short = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 1, F.lit(1))), lambda i: F.concat(F.lit("="), F.substring(bare, i, F.lit(2))))
-        every = F.array_distinct(F.concat(F.split(name, " "), grams, short))
+        every = F.array_distinct(F.concat(words, grams))
         return df.where(F.col(name) != "").select(F.explode(every).alias("__key"), *[F.col(x).alias(f"{side}_{y}") for x, y in (("id", "id"), ("order", "order"), (name, "name"), (year, "year"))])
 
     pairs = keys(left, "left").join(keys(right, "right"), "__key").where(years_agree(F.col("left_year"), F.col("right_year"), within)).drop("__key").distinct()
@@ -107,19 +109,12 @@ def assign_one_to_one(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
 
     Deferred acceptance: every left row without a place asks its best right row that hasn't refused it; a right row keeps the earliest that
     asks, and refuses the others. It ends at the same assignment as going through the left rows one after another."""
-    spark = pairs.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/' + spark.sparkContext.applicationId}/assignment-{uuid.uuid4().hex}"
-
-    def saved(df, k):
-        df.write.parquet(f"{folder}/{k}")
-        return spark.read.parquet(f"{folder}/{k}")
-
-    left = saved(pairs, 0)
-    for k in range(1, rounds):
+    left = materialize(pairs, "assignment")
+    for _ in range(rounds):
         asks = best_matches(left)
         keeps = F.row_number().over(W.partitionBy("right_id").orderBy("left_order"))
         refused = asks.withColumn("__rank", keeps).where("__rank > 1").select("left_id", "right_id")
-        rest = saved(left.join(refused, ["left_id", "right_id"], "left_anti"), k)
+        rest = materialize(left.join(refused, ["left_id", "right_id"], "left_anti"), "assignment")
         if rest.count() == left.count():
             return best_matches(rest).select("left_id", "right_id", "score")
         left = rest
@@ -156,19 +151,15 @@ def resolve_persons(anchors: DataFrame, second: DataFrame, third: DataFrame, thr
 def _settle(options: DataFrame, most: int) -> DataFrame:
     """Each left row's best option, where an option that is itself a left row only counts if that row found none. Rows are settled in rounds: a row
     is settled once all its options that are left rows are."""
-    spark = options.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/' + spark.sparkContext.applicationId}/settle-{uuid.uuid4().hex}"
-    options.write.parquet(f"{folder}/options")
-    options = spark.read.parquet(f"{folder}/options")
+    options = materialize(options, "matches")
     inner = options.join(options.select(F.col("left_id").alias("right_id")).distinct(), "right_id", "left_semi").select("left_id", "right_id")
     if inner.isEmpty():
         return best_matches(options)
     joined = None
-    for k in range(most + 1):
+    for _ in range(most + 1):
         gone = joined.select(F.col("left_id").alias("right_id")) if joined is not None else None
         usable = options if gone is None else options.join(gone, "right_id", "left_anti")
-        best_matches(usable).write.parquet(f"{folder}/{k}")
-        new = spark.read.parquet(f"{folder}/{k}")
+        new = materialize(best_matches(usable), "matches")
         if joined is not None and new.select("left_id", "right_id").exceptAll(joined.select("left_id", "right_id")).isEmpty() and new.count() == joined.count():
             return new
         joined = new
