@@ -47,6 +47,13 @@ def unmatched(stats: DataFrame, ids: DataFrame) -> DataFrame:
     return stats.join(ids, ["source", "source_id"], "left_anti")
 
 
+def with_position(df: DataFrame, positions: DataFrame, code: str = "code") -> DataFrame:
+    """df with the position of its (source, code), white space around the code aside; an unknown code or source gives null. positions has a
+    configuration's size."""
+    key = F.broadcast(positions.withColumnRenamed("code", "__code"))
+    return df.withColumn("__code", F.trim(code)).join(key, ["source", "__code"], "left").drop("__code")
+
+
 def pool(persons: DataFrame, position: str) -> DataFrame:
     """Persons of a position whose eligibility isn't 'no'; an unknown flag stays."""
     return persons.where((F.col("position") == position) & ~F.col("eligible").eqNullSafe("no"))

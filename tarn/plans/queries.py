@@ -297,6 +297,22 @@ def coerce_numeric(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.number(comma).alias("price"), text.number("p_brand").alias("brand"))
 
 
+@query("""WITH c AS (SELECT c_custkey, CASE CAST(c_custkey % 4 AS INTEGER) WHEN 0 THEN 'nhl' WHEN 1 THEN 'liiga' WHEN 2 THEN 'extraliga' ELSE 'other' END AS source, CASE CAST(c_custkey % 5 AS INTEGER) WHEN 0 THEN 'C' WHEN 1 THEN 'MV' WHEN 2 THEN 'O' WHEN 3 THEN 'D' END AS code FROM customer)
+ SELECT c_custkey, CASE WHEN source = 'nhl' AND code = 'C' THEN 'F' WHEN source = 'nhl' AND code = 'D' THEN 'D' WHEN source = 'liiga' AND code = 'MV' THEN 'G' WHEN source = 'extraliga' AND code = 'O' THEN 'D' END AS position FROM c""")
+def position_codes(spark, sf_dir):
+    source = F.element_at(F.array(*map(F.lit, ["nhl", "liiga", "extraliga", "other"])), (F.col("c_custkey") % 4 + 1).cast("int"))
+    code = F.element_at(F.array(F.lit("C "), F.lit(" MV"), F.lit("O"), F.lit("D"), F.lit(None)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", source.alias("source"), code.alias("code"))
+    return features.with_position(rows, dims.positions(spark)).select("c_custkey", "position")
+
+
+@query("SELECT conv_id, turn, role AS title, CAST(turn AS VARCHAR) AS meta, CAST(2 AS INTEGER) AS n_sections, '<p><strong>' || role || '</strong></p>' AS second FROM conversations")
+def text_sections(spark, sf_dir):
+    made = F.concat(F.lit("```markdown\n# "), "role", F.lit(" ("), F.col("turn").cast("string"), F.lit(")\n## One\nfirst\n\nmore\n## Two\n**"), "role", F.lit("**\n```"))
+    brief = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.brief(made).alias("b"))
+    return brief.select("conv_id", "turn", "b.title", "b.meta", F.size("b.sections").alias("n_sections"), F.get("b.sections", F.lit(1))["html"].alias("second"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tables.json_field("props", "$.k", "bigint").alias("k"))
