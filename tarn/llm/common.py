@@ -46,28 +46,37 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-class Memo(dict):
-    """word -> what compute gives for it; many missing words at once. It starts anew when full, so memory is bounded."""
+class Memo:
+    """word -> what compute gives for it, for many missing words at once. Memory is bounded by two generations of `limit` words: when one is
+    full the next begins, and takes words over from the one before as they come up again."""
 
     def __init__(self, compute, limit: int = 300_000, longest: int = 100):
-        super().__init__()
         self.compute, self.limit, self.longest = compute, limit, longest
-
-    def fill(self, words: list) -> None:
-        """Afterwards every word of `words` is here."""
-        missing = [w for w in set(words) if w not in self]
-        if missing and len(self) + len(missing) > self.limit:
-            self.clear()
-            missing = list(set(words))
-        if missing:
-            self.update(zip(missing, self.compute(missing)))
-
-    def trim(self) -> None:
-        """After a batch: what is too large to keep goes."""
-        if len(self) > self.limit:
-            self.clear()
-
-    def drop_long(self, words) -> None:
-        for w in words:
-            if len(w) > self.longest:
-                self.pop(w, None)
+        self.data, self.old, self.long = {}, {}, []
+
+    def of(self, words: list) -> dict:
+        """A dict that holds every word of `words`; until the next call of tidy or of."""
+        missing = set(words).difference(self.data)
+        if not missing:
+            return self.data
+        if len(self.data) + len(missing) > self.limit:
+            self.old, self.data = self.data, {}
+            missing = set(words)
+        data, old = self.data, self.old
+        fresh = []
+        for w in missing:
+            if w in old:
+                data[w] = old[w]
+            else:
+                fresh.append(w)
+        self.long += [w for w in fresh if len(w) > self.longest]
+        data.update(zip(fresh, self.compute(fresh)))
+        return data
+
+    def tidy(self) -> None:
+        """After a batch: words that are too long to keep go, and all if one batch was too large."""
+        for w in self.long:
+            self.data.pop(w, None)
+        self.long.clear()
+        if len(self.data) > self.limit:
+            self.data = {}

@@ -18,6 +18,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,7 @@ class Encoder:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             self.separable, self.added = self._drops_space(spec), [t["content"] for t in spec.get("added_tokens", [])]
-            self.pattern = None
+            self.pattern = self._pre_tokens(spec) if self.separable else None
             self.dtype = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
         else:
             import sentencepiece
@@ -58,8 +61,9 @@ class Encoder:
             assert not any("▁" in p.lstrip("▁") for p in pieces), "a piece spans words"
             self.separable, self.stable, self.pattern = False, STABLE_PIECES, None
             self.dtype = "<u2" if self.lib.get_piece_size() <= 1 << 16 else "<u4"
-        self.sizes = Memo(lambda words: map(len, self.ids(words)))
-        self.codes = Memo(lambda words: [np.array(x, self.dtype).tobytes() for x in self.ids(words)])
+        self.kind = "H" if self.dtype == "<u2" else "I"
+        self.sizes = Memo(lambda words: map(len, self.ids(words)), 600_000)
+        self.codes = Memo(lambda words: [array(self.kind, x).tobytes() for x in self.ids(words)], 600_000)
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -73,16 +77,17 @@ class Encoder:
 
     @staticmethod
     def _pre_tokens(spec: dict):
-        """The pattern of the pre-tokens, if normalisation is composition, white space and lower case alone, and pre-tokens aren't cut further."""
+        """The pattern of the pre-tokens, its classes written out for plain characters, if normalisation is composition, white space and lower case alone, and pre-tokens aren't cut further."""
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         cuts = spec["pre_tokenizer"].get("pretokenizers", [])
         if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": "\\s+"} or steps[1]["content"] != " ":
             return None
         if [x["type"] for x in cuts] != ["Split", "ByteLevel"] or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
             return None
-        import regex
-
-        return regex.compile(cuts[0]["pattern"]["Regex"])
+        pattern = cuts[0]["pattern"]["Regex"]
+        for kind in "LN":
+            pattern = pattern.replace(f"\\p{{{kind}}}", "".join(re.escape(c) for c in map(chr, range(0x20, 0x17F)) if PLAIN.fullmatch(c) and unicodedata.category(c)[0] == kind))
+        return None if "\\p" in pattern or sys.byteorder != "little" else re.compile(pattern)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         if self.path.endswith(".json"):
@@ -145,11 +150,10 @@ class Encoder:
         rest = [i for i, n in enumerate(out) if n is None]
         if self.separable:
             split = [self.words(texts[i]) for i in rest]
-            self.sizes.fill(every := [w for ws in split for w in ws])
+            sizes = self.sizes.of([w for ws in split for w in ws])
             for i, ws in zip(rest, split):
-                out[i] = sum(map(self.sizes.__getitem__, ws))
-            self.sizes.drop_long(set(every))
-            self.sizes.trim()
+                out[i] = sum(map(sizes.__getitem__, ws))
+            self.sizes.tidy()
         else:
             for i, ids in zip(rest, self.ids([texts[i] for i in rest])):
                 out[i] = len(ids)
@@ -160,10 +164,9 @@ class Encoder:
         if not self.separable:
             return [np.array(self.chunked(t) if len(t) > CHUNK + OVERLAP else self.ids([t])[0], self.dtype).tobytes() if t else b"" for t in texts]
         split = [self.words(t) if t else [] for t in texts]
-        self.codes.fill(every := [w for ws in split for w in ws])
-        out = [b"".join(map(self.codes.__getitem__, ws)) for ws in split]
-        self.codes.drop_long(set(every))
-        self.codes.trim()
+        codes = self.codes.of([w for ws in split for w in ws])
+        out = [b"".join(map(codes.__getitem__, ws)) for ws in split]
+        self.codes.tidy()
         return out
 
 
