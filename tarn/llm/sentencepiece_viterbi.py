@@ -5,7 +5,7 @@ that position. Unigram models relax by score. In a BPE model a segmentation is r
 would leave apart, so there a way is admitted only if its last two pieces are such a pair; exactly one way is then left at each position,
 and the result is the library's. Characters in no piece become byte pieces, or the unknown piece where the model has no bytes.
 
-Texts are cut before each run of word-start marks, and again between two characters that no piece has side by side: no piece spans such
+Texts are cut before each run of word-start marks, and again between runs of letters, digits and signs where no piece has the two characters side by side: no piece spans such
 a place (derived from the vocabulary), so each part is encoded once and remembered (bounded). Time is linear in a text's length.
 
 Defined results: null and empty texts encode to no ids and decode to the empty text; the mark U+2581 in a text reads back as a space, as
@@ -15,6 +15,7 @@ in the library; repeated rows are encoded alike; columns other than the text are
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,11 @@ from tarn.llm.common import Memo, short_batches
 MARK = "▁"
 #: Fixed values of the model format: piece types, model types, and what an unknown character costs below the least score.
 NORMAL, UNKNOWN, USER, BYTE, UNIGRAM, BPE, PENALTY = 1, 2, 4, 6, 1, 2, 10.0
+#: Pairs of pieces whose being neighbours a worker remembers.
+NEIGHBOURS = 400_000
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Runs of letters, line ends, digits and signs; neighbours are joined again where a piece has their border.
+RUNS = re.compile(r"[^\W\d_]+|\n+|[\d_]+|[^\w\n]+")
 
 
 class Pieces:
@@ -58,14 +63,17 @@ class Pieces:
         use = list(plain)
         if self.kind == BPE:
             use = [i for i in plain if len(self.text[i]) == 1 or self._split(i)]
+        self.whole = {self.text[i] for i in use}
         self.automaton = ahocorasick.Automaton()
         for i in use:
             self.automaton.add_word(self.text[i], (i, len(self.text[i])))
         self.automaton.make_automaton()
         self.raw = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else b" \xe2\x81\x87 " if p.type == UNKNOWN else b"" if p.type == 3 else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.pairs = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.parts = Memo(lambda parts: [np.array(self.chunk(c), "<i4").tobytes() for c in parts], 150_000)
-        self.chunks = Memo(self._by_parts, 150_000)
+        self.parts = Memo(lambda parts: [array("i", self.chunk(c)).tobytes() for c in parts], 300_000)
+        self.chunks = Memo(self._by_parts, 400_000)
+        self.neighbours: dict[int, bool] = {}
+        self.single = {p for p in self.whole if len(p) == 1}
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Plain merging of the best neighbours until none is left, and the two halves of the last merge."""
@@ -110,9 +118,41 @@ class Pieces:
             if a < 0 or b < 0:
                 return True
 
+    def _merged(self, text: str) -> list[int]:
+        """chunk for a BPE model and a text of single-character pieces: at each position the one admitted way, in order of the automaton's output."""
+        n, neighbours, apart = len(text), self.neighbours, self.apart
+        if len(neighbours) > NEIGHBOURS:
+            neighbours.clear()
+        known = neighbours.get
+        last, before = [-1] * (n + 1), [0] * (n + 1)
+        for at, (piece, size) in self.automaton.iter(text):
+            at += 1
+            if last[at] < 0:
+                if size < at:
+                    pair = last[at - size] << 20 | piece
+                    fits = known(pair)
+                    if fits is None:
+                        fits = neighbours[pair] = apart(last[at - size], piece)
+                    if not fits:
+                        continue
+                last[at], before[at] = piece, at - size
+        out = []
+        while n:
+            out.append(last[n])
+            n = before[n]
+        out.reverse()
+        return out
+
     def chunk(self, text: str) -> list[int]:
         """ids of one chunk."""
-        n, bpe, apart, score = len(text), self.kind == BPE, self.apart, self.score
+        if self.kind == BPE:
+            if text in self.whole:
+                return [self.id[text]]
+            if self.single.issuperset(text):
+                return self._merged(text)
+        n, bpe, apart, score, neighbours = len(text), self.kind == BPE, self.apart, self.score, self.neighbours
+        if len(neighbours) > NEIGHBOURS:
+            neighbours.clear()
         last, before = [-1] * (n + 1), [0] * (n + 1)  # the piece that ends here, -1 an unknown character; where it starts
         best = [0.0] + [None] * n
         done = 0
@@ -138,8 +178,15 @@ class Pieces:
             if way is None:
                 continue
             if bpe:
-                if best[end] is None and (start == 0 or apart(last[start], piece)):
-                    best[end], last[end], before[end] = 0.0, piece, start
+                if best[end] is not None:
+                    continue
+                if start:
+                    pair = last[start] << 20 | piece
+                    if (fits := neighbours.get(pair)) is None:
+                        fits = neighbours[pair] = apart(last[start], piece)
+                    if not fits:
+                        continue
+                best[end], last[end], before[end] = 0.0, piece, start
             elif best[end] is None or way + score[piece] > best[end]:
                 best[end], last[end], before[end] = way + score[piece], piece, start
         close(n)
@@ -155,23 +202,26 @@ class Pieces:
         return [i for x in reversed(out) for i in x]
 
     def _by_parts(self, chunks: list[str]) -> list[bytes]:
-        pairs, cut = self.pairs, []
+        pairs, cut, runs = self.pairs, [], RUNS.findall
         for c in chunks:
-            edges = [0, *(k for k in range(1, len(c)) if c[k - 1 : k + 1] not in pairs), len(c)]
-            cut.append([c[a:b] for a, b in zip(edges, edges[1:])])
-        self.parts.fill(every := [p for x in cut for p in x])
-        out = [b"".join(map(self.parts.__getitem__, x)) for x in cut]
-        self.parts.drop_long(set(every))
-        self.parts.trim()
+            whole = []
+            for run in runs(c):
+                if whole and whole[-1][-1] + run[0] in pairs:
+                    whole[-1] += run
+                else:
+                    whole.append(run)
+            cut.append(whole)
+        known = self.parts.of([p for x in cut for p in x])
+        out = [known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in cut]
+        self.parts.tidy()
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text as 32-bit integers."""
         cut = [CHUNKS.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.chunks.fill(every := [c for x in cut for c in x])
-        out = [b"".join(map(self.chunks.__getitem__, x)) for x in cut]
-        self.chunks.drop_long(set(every))
-        self.chunks.trim()
+        known = self.chunks.of([c for x in cut for c in x])
+        out = [b"".join(map(known.__getitem__, x)) for x in cut]
+        self.chunks.tidy()
         return out
 
     def decode(self, ids) -> str:
@@ -214,8 +264,9 @@ def decode(docs: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
     return docs.withColumn(out_col, text(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, n_tokens, round_trip (the ids decode to the text) for every row; encoded and decoded in one pass over the texts."""
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in carry, ids, n_tokens, round_trip (the ids decode to the text) for every row; encoded and decoded in one pass over
+    the texts."""
     short_batches(docs.sparkSession)
     kind = pa.struct([("ids", pa.list_(pa.int32())), ("same", pa.bool_())])
 
@@ -229,5 +280,5 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         ids = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat, pa.int32()))
         return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], fields=list(kind))
 
-    got = docs.select(F.col(id_col).alias("doc_id"), both(F.col(text_col)).alias("r"))
-    return got.select("doc_id", F.col("r.ids").alias("ids"), F.size("r.ids").cast("long").alias("n_tokens"), F.col("r.same").alias("round_trip"))
+    got = docs.select(F.col(id_col).alias("doc_id"), *carry, both.asNondeterministic()(F.col(text_col)).alias("r"))
+    return got.select("doc_id", *carry, F.col("r.ids").alias("ids"), F.size("r.ids").cast("long").alias("n_tokens"), F.col("r.same").alias("round_trip"))
