@@ -117,7 +117,7 @@ def _scan_udf(spark, items: list[tuple[str, str]], width: int):
         one = _scanner[key]
         return pa.array([one.scan(x) for x in text.to_pylist()], RESULT)
 
-    return scan
+    return scan.asNondeterministic()  # so that a filter on the result doesn't run it again
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_chars: int):
@@ -194,3 +194,20 @@ def brute_force(docs: list[tuple], items: list[tuple], width: int = 13) -> list[
         digest_ = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc, len(words), len(hit), len(found), digest_, bool(hit) and 20 * len(hit) >= len(words)))
     return out
+
+
+#: The digest over DuckDB: words and windows unnested, windows joined as texts of their length.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+l AS (SELECT item, ws, least(len(ws), 13) AS n FROM b WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item, n, array_to_string(ws[i : i + n - 1], ' ') AS win FROM (SELECT item, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM l)),
+k AS (SELECT DISTINCT n FROM w),
+p AS (SELECT r, n, i, array_to_string(ws[i : i + n - 1], ' ') AS win FROM (SELECT r, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, k WHERE len(ws) >= n)),
+h AS (SELECT r, item, i, p.n FROM p JOIN w ON p.n = w.n AND p.win = w.win),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM h) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""

@@ -117,7 +117,7 @@ def digest(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 p AS (SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
 t AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM p),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM t),
@@ -130,7 +130,7 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars < 2 * nw OR word_chars > 20 * nw OR 2 * n_symbols > nw OR (n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines)
             OR 100 * len(regexp_extract_all(text, '\p{Lu}')) > 40 * len(regexp_extract_all(text, '\p{L}'))
-            OR 100 * len(list_filter(words, x -> regexp_matches(x, '\p{L}'))) < 70 * nw
-            OR 100 * len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '^\s*(?:[-*•]|\d+[.)])\s'))) > 90 * n_lines) AS kept
+            OR 100 * len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) < 70 * nw
+            OR 100 * len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*(?:[-*•]|\d+[.)])\s'))) > 90 * n_lines) AS kept
 FROM b
 """

@@ -277,3 +277,15 @@ def brute_force(rows: list[tuple]) -> list[tuple]:
         of = first[raw]
         out.append((page, len(raw), sha1_base32(raw), "response" if of == page else "revisit", None if of == page else of))
     return out
+
+
+#: The digest over DuckDB, without archives; base 32 from the hexadecimal digest, four characters of five digits.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+x AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, i * 5 + 1, 5) AS BIGINT)) AS v FROM f)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v[CAST(i // 4 AS BIGINT) + 1] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM x
+"""
