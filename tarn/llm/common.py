@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.sources.shared import materialize, new_path, shared_dir
+
+__all__ = ["Memo", "filesystem", "materialize", "new_path", "shared_dir", "short_batches", "table"]
+
 #: Rows in one Arrow batch sent to a Python worker; documents can be long, so batches are short.
 ARROW_ROWS = 400
 
@@ -14,27 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one under /tmp where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: its lineage is cut and survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
