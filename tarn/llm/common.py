@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarn.sources.shared import materialize, new_path, shared_dir
 
-__all__ = ["Memo", "filesystem", "materialize", "new_path", "shared_dir", "short_batches", "table"]
+__all__ = ["Memo", "filesystem", "materialize", "new_path", "once", "shared_dir", "short_batches", "table"]
 
 #: Rows in one Arrow batch sent to a Python worker; documents can be long, so batches are short.
 ARROW_ROWS = 400
@@ -20,6 +20,12 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def once(made: Column) -> Column:
+    """made, computed in its own projection: what uses it is not merged with it, and a filter on it is not moved below it, where the optimiser
+    would write it out once for each use, inside loops over words too."""
+    return F.when(F.monotonically_increasing_id() >= 0, made)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI of the shared folder; a plain path is local."""
     from pyarrow import fs

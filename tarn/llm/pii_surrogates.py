@@ -11,8 +11,8 @@ same one everywhere (coreference), of the same kind and shape:
 
 Collisions: the distinct entities of the corpus, per kind, are grouped by their surrogate. Of several entities with one surrogate all but
 the first, and any whose surrogate is itself an entity of the corpus, try again with the next attempt's hash, until none collides. Nearly
-all entities keep attempt 0; only the others are carried to the texts: as a literal map up to MAP_BOUND entries, beyond that by a join
-on the text's hash.
+all entities keep attempt 0; only the others are carried to the texts that hold them, by a join on the text's hash, which broadcasts them
+up to MAP_BOUND texts (counted) and shuffles beyond that.
 
 Defined results: null stays null and empty stays empty; texts without entities come back unchanged, byte for byte; repeated rows
 are rewritten alike; other columns, whatever their names, are carried along unread. The key is a parameter; without it surrogates can't be
@@ -25,9 +25,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tarn.llm.common import materialize
+from tarn.llm.common import materialize, once
 
-MAP_BOUND, MAX_ATTEMPTS = 200, 12
+MAP_BOUND, MAX_ATTEMPTS = 2000, 12
 
 #: Titles and given names by gender, and syllables by script.
 TITLES_F = "Mrs Ms Miss Madam Lady Frau Mme Mlle Madame Sra Srta Señora Señorita".split()
@@ -59,6 +59,11 @@ PATTERN = r"(?<![\p{L}\p{N}_@])(?=[A-Za-z0-9+(\p{Lu}])(?:" + "|".join(f"(?:{p})"
 PREFIX = r"^((?:AKIA|ASIA)|gh[pousr]_|sk-|xox[abprs]-|[A-Za-z_-]+ *[=:] *[\"']?)"
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def kind_of(raw: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for name, pattern in KINDS.items():
@@ -149,13 +154,13 @@ def _ip(raw: Column, hash_: Column) -> Column:
 
 def _domain(domain: Column, key: str, attempt: Column) -> Column:
     stem, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    return F.concat(_shaped(stem, _hash(key, "domain", domain, attempt)), top)
+    return F.concat(_let(_hash(key, "domain", domain, attempt), lambda h: _shaped(stem, h)), top)
 
 
 def _email(raw: Column, key: str, attempt) -> Column:
     low = F.lower(raw)
     local, domain = F.substring_index(raw, "@", 1), F.substring_index(low, "@", -1)
-    return F.concat(_shaped(local, _hash(key, "email", low, attempt(F.lit("email"), low))), F.lit("@"), _domain(domain, key, attempt(F.lit("domain"), domain)))
+    return F.concat(_let(_hash(key, "email", low, attempt(F.lit("email"), low)), lambda h: _shaped(local, h)), F.lit("@"), _domain(domain, key, attempt(F.lit("domain"), domain)))
 
 
 def _phone(raw: Column, what: Column, hash_: Column) -> Column:
@@ -173,15 +178,21 @@ def _secret(raw: Column, hash_: Column) -> Column:
 
 def _name(word: Column, role: Column, key: str, attempt: Column) -> Column:
     """A made-up name for one word of a name: role f or m for a given name of that gender, s for a family name."""
-    hash_ = _hash(key, "name", F.concat_ws("/", role, F.lower(word)), attempt)
     script = F.when(word.rlike(r"^\p{IsGreek}"), "greek").when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    out = F.lit("")
-    for name, syllables in SYLLABLES.items():
-        pool = F.array(*[F.lit(x) for x in syllables])
-        made = F.array_join(F.transform(F.sequence(F.lit(0), 2 + attempt), lambda i: F.element_at(pool, F.pmod(_number(hash_, i), F.lit(len(syllables))) + 1)), "")
-        ending = F.when(role == "f", ENDINGS[name]["f"]).when(role == "m", ENDINGS[name]["m"]).otherwise(ENDINGS[name]["s"])
-        out = F.when(script == name, F.concat(made, ending)).otherwise(out)
-    return F.when((F.length(word) > 1) & (F.upper(word) == word), F.upper(out)).otherwise(F.concat(F.upper(F.substring(out, F.lit(1), F.lit(1))), F.substring(out, F.lit(2), F.length(out))))
+
+    def made(name, hash_):
+        pool = F.split(F.lit(" ".join(SYLLABLES[name])), " ")
+        stem = F.array_join(F.transform(F.sequence(F.lit(0), 2 + attempt), lambda i: F.get(pool, F.pmod(_number(hash_, i), F.lit(len(SYLLABLES[name]))))), "")
+        return F.concat(stem, F.when(role == "f", ENDINGS[name]["f"]).when(role == "m", ENDINGS[name]["m"]).otherwise(ENDINGS[name]["s"]))
+
+    def in_script(hash_):
+        out = made("latin", hash_)
+        for name in SYLLABLES:
+            out = F.when(script == name, made(name, hash_)).otherwise(out)
+        return out
+
+    cased = lambda out: F.when((F.length(word) > 1) & (F.upper(word) == word), F.upper(out)).otherwise(F.concat(F.upper(F.substring(out, F.lit(1), F.lit(1))), F.substring(out, F.lit(2), F.length(out))))
+    return _let(_let(_hash(key, "name", F.concat_ws("/", role, F.lower(word)), attempt), in_script), cased)
 
 
 def _words(raw: Column) -> tuple[Column, Column]:
@@ -209,18 +220,26 @@ def surrogate(raw: Column, kind: Column, key: str, attempt) -> Column:
     hash_ = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt(kind, what).cast("string"), what), 512)
     words, roles = _words(raw)
     person = F.array_join(F.zip_with(words, roles, lambda w, r: F.when(r == "t", w).otherwise(_name(w, r, key, attempt(F.concat(F.lit("name_"), r), F.lower(w))))), " ")
-    return (
-        F.when(kind == "email", _email(raw, key, attempt)).when(kind == "phone", _phone(raw, what, hash_)).when(kind == "ip", _ip(raw, hash_))
-        .when(kind == "card", _card(raw, hash_)).when(kind == "iban", _iban(raw, hash_)).when(kind == "person", person)
-        .when(kind == "ssn", _digits_into(raw, _random_digits(F.lit(9), hash_))).otherwise(_secret(raw, hash_))
+    by_hash = lambda h: (
+        F.when(kind == "phone", _phone(raw, what, h)).when(kind == "ip", _ip(raw, h)).when(kind == "card", _card(raw, h)).when(kind == "iban", _iban(raw, h))
+        .when(kind == "ssn", _digits_into(raw, _random_digits(F.lit(9), h))).otherwise(_secret(raw, h))
     )
+    return F.when(kind == "email", _email(raw, key, attempt)).when(kind == "person", person).otherwise(_let(hash_, by_hash))
+
+
+def mentions(text_col: str) -> Column:
+    """Array of (raw, kind) of the mentions in a text, in its order."""
+    return F.transform(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), 0), lambda x: F.struct(x.alias("raw"), kind_of(x).alias("kind")))
+
+
+def entities_in(text_col: str) -> Column:
+    """Array of (kind, what, raw) of the distinct entities in a text."""
+    return F.array_distinct(F.flatten(F.transform(mentions(text_col), lambda e: parts(e["raw"], e["kind"]))))
 
 
 def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The distinct entities of the corpus: kind, what (normal form), raw (the smallest spelling)."""
-    raw = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), 0)).alias("raw")).distinct()
-    each = raw.select(F.inline(parts(F.col("raw"), kind_of(F.col("raw")))))
-    return each.groupBy("kind", "what").agg(F.min("raw").alias("raw"))
+    return docs.select(F.inline(entities_in(text_col))).groupBy("kind", "what").agg(F.min("raw").alias("raw"))
 
 
 def attempts(entities: DataFrame, key: str, most: int = MAX_ATTEMPTS) -> DataFrame:
@@ -228,11 +247,17 @@ def attempts(entities: DataFrame, key: str, most: int = MAX_ATTEMPTS) -> DataFra
     surrogate is an entity."""
     state = materialize(entities.select("kind", "what", "raw", F.lit(0).alias("attempt")), "pii-entities")
     real = state.select("kind", F.col("what").alias("made"), F.lit(True).alias("real"))
-    kind, raw, n = F.col("kind"), F.col("raw"), F.col("attempt")
-    own = F.when(kind == "domain", _domain(raw, key, n)).when(kind.startswith("name_"), F.lower(_name(raw, F.substring(kind, -1, 1), key, n)))
-    own = own.otherwise(normal(surrogate(raw, kind, key, lambda k, _: F.when(k == kind, n).otherwise(0)), kind))
+    n = F.col("attempt")
+
+    def of(e):
+        kind, raw, n = e["kind"], e["raw"], e["n"]
+        simple = F.when(kind == "domain", _domain(raw, key, n)).when(kind.startswith("name_"), F.lower(_name(raw, F.substring(kind, -1, 1), key, n)))
+        return simple.otherwise(_let(surrogate(raw, kind, key, lambda k, _: F.when(k == kind, n).otherwise(0)), lambda x: normal(x, kind)))
+
+    own = _let(F.struct("kind", "raw", n.alias("n")), of)
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(most):
-        made = state.withColumn("made", own)
+        made = materialize(state.repartition(tasks, "kind", "what").withColumn("made", own), "pii-made")  # each surrogate is made once, by all executors
         keeper = made.groupBy("kind", "made").agg(F.min("what").alias("keeper"))
         again = (F.col("keeper") != F.col("what")) | F.coalesce("real", F.lit(False))
         judged = made.join(keeper, ["kind", "made"], "left").join(real, ["kind", "made"], "left")
@@ -249,21 +274,17 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     hits, texts, tries = f"__hits_{tag}", f"__text_{tag}", f"__tries_{tag}"
     moved = materialize(attempts(found(docs, text_col), key), "pii-attempts")
     pair = lambda kind, what: F.concat_ws("\x1f", kind, what)
-    df = docs.withColumn(hits, F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), 0))
-    n = moved.count()
-    if n == 0:
+    df = docs.withColumn(hits, mentions(text_col))
+    if moved.isEmpty():
         attempt = lambda kind, what: F.lit(0)
-    elif n <= MAP_BOUND:
-        known = F.create_map(*[x for r in moved.collect() for x in (F.lit(f"{r.kind}\x1f{r.what}"), F.lit(r.attempt))])
-        attempt = lambda kind, what: F.coalesce(F.try_element_at(known, pair(kind, what)), F.lit(0))
     else:
-        mine = docs.select(F.sha2(F.col(text_col), 256).alias(texts), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), 0)).alias("raw")).distinct()
-        mine = mine.select(texts, F.inline(parts(F.col("raw"), kind_of(F.col("raw"))))).select(texts, "kind", "what").distinct()
+        mine = docs.select(F.sha2(F.col(text_col), 256).alias(texts), F.inline(entities_in(text_col))).select(texts, "kind", "what").distinct()
         maps = mine.join(moved, ["kind", "what"]).groupBy(texts).agg(F.map_from_entries(F.collect_list(F.struct(pair(F.col("kind"), F.col("what")), F.col("attempt")))).alias(tries))
-        df = df.withColumn(texts, F.sha2(F.col(text_col), 256)).join(maps, texts, "left")
+        maps = materialize(maps, "pii-maps")
+        small = maps.count() <= MAP_BOUND
+        df = df.withColumn(texts, F.when(F.size(hits) > 0, F.sha2(F.col(text_col), 256))).join(F.broadcast(maps) if small else maps, texts, "left")
         attempt = lambda kind, what: F.coalesce(F.try_element_at(F.col(tries), pair(kind, what)), F.lit(0))
-    typed = F.transform(hits, lambda x: F.struct(x.alias("raw"), kind_of(x).alias("kind")))
-    made = F.transform(typed, lambda e: surrogate(e["raw"], e["kind"], key, attempt))
+    made = F.transform(hits, lambda e: surrogate(e["raw"], e["kind"], key, attempt))
     gaps = F.split(F.col(text_col), PATTERN, -1)
     new = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(F.slice(gaps, F.lit(2), F.size(hits)), made, lambda gap, s: F.concat(s, gap)), ""))
-    return df.withColumn(text_col, F.when(F.size(hits) > 0, new).otherwise(F.col(text_col))).select(*docs.columns)
+    return df.withColumn(text_col, once(F.when(F.size(hits) > 0, new).otherwise(F.col(text_col)))).select(*docs.columns)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tarn.llm.common import materialize
+from tarn.llm.common import materialize, once
 
 WORD, SYMBOL = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
 #: Rows of the sample that rules are measured on.
@@ -46,31 +46,25 @@ def rules() -> list[Rule]:
     ]
 
 
-def _once(made: Column) -> Column:
-    """made, computed in its own projection: a filter on what follows from it is not moved below it, where the optimiser would write it out
-    once for each use, inside loops over words too."""
-    return F.when(F.monotonically_increasing_id() >= 0, made)
-
-
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, words and the measures of each row."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    df = df.withColumn("words", _once(F.regexp_extract_all("text", F.lit(WORD), 0))).withColumn("lines", _once(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
+    df = df.withColumn("words", once(F.regexp_extract_all("text", F.lit(WORD), 0))).withColumn("lines", once(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
     df = df.withColumns({
         "n_words": F.size("words").cast("long"),
         "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "n_symbols": F.regexp_count("text", F.lit(SYMBOL)).cast("long"),
         "n_lines": F.size("lines").cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "windows": _once(F.when(F.size("words") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(1))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))),
+        "windows": once(F.when(F.size("words") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(1))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))),
     })
     # windows in order of hash: an equal neighbour is a repeat; what a window covers runs to the next one that is repeated, three words at most
     some = F.size("windows") > F.size(F.array_distinct("windows"))
-    df = df.withColumn("placed", _once(F.when(some, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
+    df = df.withColumn("placed", once(F.when(some, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
     again = F.filter("placed", lambda x, i: (x["h"] == F.get("placed", i - 1)["h"]) | (x["h"] == F.get("placed", i + 1)["h"]))
-    df = df.withColumn("starts", _once(F.when(F.col("placed").isNotNull(), F.sort_array(F.transform(again, lambda x: x["i"])))))
+    df = df.withColumn("starts", once(F.when(F.col("placed").isNotNull(), F.sort_array(F.transform(again, lambda x: x["i"])))))
     covered = F.aggregate(F.transform("starts", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("starts", i + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    df = df.withColumn("n_repeat_words", _once(F.coalesce(covered, F.lit(0).cast("long")))).drop("windows", "placed", "starts", "lines")
+    df = df.withColumn("n_repeat_words", once(F.coalesce(covered, F.lit(0).cast("long")))).drop("windows", "placed", "starts", "lines")
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
