@@ -7,7 +7,7 @@ WORDS = "the of and to in is was for on that with as by at from his it an were a
 
 def prose(rng: random.Random, n: int) -> str:
     words = [rng.choice(WORDS) + rng.choice(["", "", "s", "er", "ing"]) for _ in range(n)]
-    return " ".join(w.capitalize() + "" if i % 11 == 0 else w + ("." if i % 11 == 10 else "") for i, w in enumerate(words))
+    return " ".join(w.capitalize() if i % 11 == 0 else w + ("." if i % 11 == 10 else "") for i, w in enumerate(words))
 
 
 @pytest.fixture(scope="session")
