@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarn.sources.shared import materialize, new_path, shared_dir
 
-__all__ = ["Memo", "filesystem", "materialize", "new_path", "once", "shared_dir", "short_batches", "table"]
+__all__ = ["Memo", "filesystem", "materialize", "new_path", "once", "resident", "shared_dir", "short_batches", "table"]
 
 #: Rows in one Arrow batch sent to a Python worker; documents can be long, so batches are short.
 ARROW_ROWS = 400
@@ -33,6 +34,24 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+_residents: dict = {}
+_stage: list = [None]
+
+
+def resident(key, make):
+    """What make() gives, kept in this worker process under key. Automata, models and memories of other stages go when a new stage begins, so a
+    worker that serves many stages holds what one needs."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _stage[0]:
+        _stage[0] = stage
+        for old in [k for k in _residents if k != key]:
+            del _residents[old]
+    if key not in _residents:
+        _residents[key] = make()
+    return _residents[key]
+
+
 class Memo:
     """word -> what compute gives for it, for many missing words at once. Memory is bounded by two generations of `limit` words: when one is
     full the next begins, and takes words over from the one before as they come up again."""

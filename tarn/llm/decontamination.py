@@ -17,7 +17,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tarn.llm.common import materialize, short_batches
+from tarn.llm.common import materialize, resident, short_batches
 
 #: Characters of windows in one automaton; a larger benchmark is scanned in blocks of items.
 BLOCK_CHARS = 3_000_000
@@ -103,18 +103,12 @@ class Scanner:
         return [{"start": chars[start[a]], "end": chars[end[b]]} for a, b in hits]
 
 
-_scanner: dict = {}
-
-
 def _scan_udf(spark, items: list[tuple[str, str]], width: int):
     key, held = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
 
     @F.arrow_udf(SQL_RESULT)
     def scan(text: pa.Array) -> pa.Array:
-        if key not in _scanner:
-            _scanner.clear()
-            _scanner[key] = Scanner(held.value, width)
-        one = _scanner[key]
+        one = resident(key, lambda: Scanner(held.value, width))
         return pa.array([one.scan(x) for x in text.to_pylist()], RESULT)
 
     return scan.asNondeterministic()  # so that a filter on the result doesn't run it again

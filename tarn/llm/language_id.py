@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tarn.llm.common import Memo, short_batches
+from tarn.llm.common import Memo, resident, short_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS, MAX_GRAMS, MAX_LANGUAGES = 4, 1500, 4000, 400_000, 400
@@ -114,13 +114,13 @@ class Model:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, at, len(self.hashes))
 
-    def score_words(self, words: list[str]) -> list[tuple]:
+    def score_words(self, words: list[str]) -> np.ndarray:
         """For each word: the sum over its characters of log2 P in each language."""
         every = [grams(w, self.order) for w in words]
         ends = np.cumsum([len(g) for g in every])
         flat = [g for x in every for g in x]
         if not flat:
-            return []
+            return np.zeros((0, len(self.languages)))
         distinct = {g: i for i, g in enumerate(dict.fromkeys(flat))}
         p = np.full((len(distinct), len(self.languages)), self.floor)
         names = list(distinct)
@@ -131,20 +131,20 @@ class Model:
             part = [names[i][-n:] for i in at]
             p[at] = self.probability[self.find(part)] + self.weight[self.find(["\x04" + g[:-1] for g in part])] * p[at]
         log = np.log2(p)[np.fromiter(map(distinct.__getitem__, flat), np.int64, len(flat))]
-        return list(map(tuple, np.add.reduceat(log, np.concatenate(([0], ends[:-1])), axis=0)))
+        return np.add.reduceat(log, np.concatenate(([0], ends[:-1])), axis=0)
 
 
 class Judge:
     def __init__(self, model: Model):
         self.model = model
-        self.memo = Memo(model.score_words, 200_000, 60)
+        self.memo = Memo(lambda words: (row.tobytes() for row in model.score_words(words)), 150_000, 60)
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Characters (closing marks included) of each text, and cross-entropy a character in each language."""
         split = [words_of(t) for t in texts]
         scores = self.memo.of(every := [w for ws in split for w in ws])
         n = np.array([sum(map(len, ws)) + len(ws) for ws in split])
-        flat = np.array([scores[w] for w in every]).reshape(-1, len(self.model.languages))
+        flat = np.frombuffer(b"".join(map(scores.__getitem__, every))).reshape(-1, len(self.model.languages))
         total = np.zeros((len(texts), len(self.model.languages)))
         size = np.array([len(ws) for ws in split])
         if len(flat):
@@ -199,9 +199,6 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return model
 
 
-_judges: dict = {}
-
-
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """docs with a struct column: lang, score (0 to 1), entropy (bits a character), distance (beyond the language's usual), rejected."""
     spark = docs.sparkSession
@@ -210,10 +207,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
 
     @F.arrow_udf("struct<lang:string,score:double,entropy:double,distance:double>")
     def judge(text: pa.Array) -> pa.Array:
-        if name not in _judges:
-            _judges.clear()
-            _judges[name] = Judge(held.value)
-        return pa.array(_judges[name].judge(text.to_pylist()), RESULT)
+        return pa.array(resident(name, lambda: Judge(held.value)).judge(text.to_pylist()), RESULT)
 
     judge = judge.asNondeterministic()  # so that a filter on the result doesn't run it again
     c = F.col(out_col)

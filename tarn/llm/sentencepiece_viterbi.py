@@ -21,13 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tarn.llm.common import Memo, short_batches
+from tarn.llm.common import Memo, resident, short_batches
 
 MARK = "▁"
 #: Fixed values of the model format: piece types, model types, and what an unknown character costs below the least score.
 NORMAL, UNKNOWN, USER, BYTE, UNIGRAM, BPE, PENALTY = 1, 2, 4, 6, 1, 2, 10.0
 #: Pairs of pieces whose being neighbours a worker remembers.
-NEIGHBOURS = 400_000
+NEIGHBOURS = 200_000
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Runs of letters, line ends, digits and signs; neighbours are joined again where a piece has their border.
 RUNS = re.compile(r"[^\W\d_]+|\n+|[\d_]+|[^\w\n]+")
@@ -70,8 +70,8 @@ class Pieces:
         self.automaton.make_automaton()
         self.raw = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else b" \xe2\x81\x87 " if p.type == UNKNOWN else b"" if p.type == 3 else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.pairs = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.parts = Memo(lambda parts: [array("i", self.chunk(c)).tobytes() for c in parts], 300_000)
-        self.chunks = Memo(self._by_parts, 400_000)
+        self.parts = Memo(lambda parts: [array("i", self.chunk(c)).tobytes() for c in parts], 200_000)
+        self.chunks = Memo(self._by_parts, 300_000)
         self.neighbours: dict[int, bool] = {}
         self.single = {p for p in self.whole if len(p) == 1}
 
@@ -229,14 +229,14 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_pieces: dict[str, Pieces] = {}
+def _load(path: str) -> Pieces:
+    with open(path, "rb") as f:
+        return Pieces(f.read())
 
 
 def pieces(path: str) -> Pieces:
-    if path not in _pieces:
-        with open(path, "rb") as f:
-            _pieces[path] = Pieces(f.read())
-    return _pieces[path]
+    """One for each file and worker process."""
+    return resident(("pieces", path), lambda: _load(path))
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -280,5 +280,5 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         ids = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat, pa.int32()))
         return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], fields=list(kind))
 
-    got = docs.select(F.col(id_col).alias("doc_id"), *carry, both.asNondeterministic()(F.col(text_col)).alias("r"))
+    got = docs.select(F.col(id_col).alias("doc_id"), *carry, both(F.col(text_col)).alias("r"))
     return got.select("doc_id", *carry, F.col("r.ids").alias("ids"), F.size("r.ids").cast("long").alias("n_tokens"), F.col("r.same").alias("round_trip"))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tarn.llm.common import Memo, short_batches
+from tarn.llm.common import Memo, resident, short_batches
 
 CHUNK, OVERLAP = 30_000, 400
 STABLE = re.compile(r"(?<=\S)[ \n](?=\S)")
@@ -170,14 +170,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each file and worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 def with_token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
