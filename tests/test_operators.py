@@ -3,10 +3,10 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
-from tarn.operators import cohort, compare, features, project, report, resolve
+from tarn.operators import cohort, compare, project, report, resolve
 from tarn.plans import dims
 
 
