@@ -10,8 +10,8 @@ The choice is the language of lowest cross-entropy a character. Rejection is cal
 learn from: for each language, how far the cross-entropy of a document of so many characters lies above that language's mean; the limit is
 the largest distance seen at `keep` of them, times a margin, so that clean text stays.
 
-What is learned from: at most about `sample_docs` documents of each language (by a hash of the id), the first `sample_chars`
-characters of their letters; texts to be judged are read whole. Fixed bounds: `order`, `max_grams`.
+What is learned from: at most about SAMPLE_DOCS documents of each of the MAX_LANGUAGES most frequent languages and SAMPLE_TOTAL in all (by a
+hash of the id), the first SAMPLE_CHARS characters of their letters; texts to be judged are read whole. Fixed bounds: `order`, `max_grams`.
 
 Defined results: null texts and texts without letters are `und` with score 0, and rejected; documents without a language don't
 teach; without any teaching documents everything is `und`; equal cross-entropies go to the first language by name; repeated rows are judged alike;
@@ -34,6 +34,8 @@ from tarn.llm.common import Memo, resident, short_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS, MAX_GRAMS, MAX_LANGUAGES = 4, 1500, 4000, 400_000, 400
+#: Documents of all languages that are learned from, so that what comes to the driver is bounded however many languages there are.
+SAMPLE_TOTAL = 20_000
 OPEN, CLOSE, UNDECIDED = "\x02", "\x03", "und"
 RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("distance", pa.float64())])
 
@@ -173,6 +175,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     sizes = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return Model([], np.array([], np.uint64), np.zeros((1, 0)), np.ones((1, 0)), 0.5, order)
+    sample_docs = min(sample_docs, SAMPLE_TOTAL // len(sizes))
     spin = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit(""))), F.lit(1_000_000))
     share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1_000_000, math.ceil(1e6 * sample_docs / n)))])
     cut = F.substring(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{M}]+", " "), 1, SAMPLE_CHARS)
