@@ -8,7 +8,9 @@ look-ups are binary searches over whole batches of words.
 
 The choice is the language of lowest cross-entropy a character. Rejection is calibrated on training documents that the model did not
 learn from: for each language, how far the cross-entropy of a document of so many characters lies above that language's mean; the limit is
-the largest distance seen at `keep` of them, times a margin, so that clean text stays.
+the largest distance seen at `keep` of them, times a margin, so that clean text stays. Equal texts count once, and are all on one side of the split.
+Spreads are drawn to that of all languages, and means to the centre of all as far as few texts leave them unsure. A language of fewer than LEAST
+distinct texts teaches with all of them; without calibration it never rejects by distance, which is null there.
 
 What is learned from: at most about SAMPLE_DOCS documents of each of the MAX_LANGUAGES most frequent languages and SAMPLE_TOTAL in all (by a
 hash of the id), the first SAMPLE_CHARS characters of their letters; texts to be judged are read whole. Fixed bounds: `order`, `max_grams`.
@@ -36,6 +38,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS, MAX_GRAMS, MAX_LANGUAGES = 4, 1500, 4000, 400_000, 400
 #: Documents of all languages that are learned from, so that what comes to the driver is bounded however many languages there are.
 SAMPLE_TOTAL = 20_000
+#: Distinct texts of a language below which it isn't split; texts that the common spread counts as; least spread, in bits.
+LEAST, PRIOR, FLOOR = 10, 20, 0.5
 OPEN, CLOSE, UNDECIDED = "\x02", "\x03", "und"
 RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("distance", pa.float64())])
 
@@ -54,13 +58,19 @@ def key(gram: str) -> int:
     return xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"))
 
 
+def _per_character(n: np.ndarray) -> np.ndarray:
+    """The variance of an entropy over n characters, as a share of that of one."""
+    return 1 / np.maximum(n, 1) + 1e-3
+
+
 class Model:
     """probability[g, l]: discounted part of P(last character | history) in language l; weight[h, l]: what history h leaves to the next shorter one."""
 
     def __init__(self, languages: list[str], hashes, probability, weight, floor, order: int):
         self.languages, self.hashes, self.probability, self.weight, self.floor, self.order = languages, hashes, probability, weight, floor, order
-        self.mean = np.zeros(len(languages))
+        self.mean = np.full(len(languages), np.nan)  # where there is no calibration
         self.spread = np.ones(len(languages))
+        self.unsure = np.zeros(len(languages))
         self.limit = math.inf
 
     @classmethod
@@ -108,6 +118,31 @@ class Model:
             weight[place[key("\x04" + h)]] = v
         return cls(languages, hashes, probability, weight, 1.0 / (len(letters) + 1), order)
 
+    def calibrate(self, seen: dict[int, tuple[np.ndarray, np.ndarray]], keep: float, margin: float) -> None:
+        """seen: for a language's place, characters and cross-entropies of distinct texts that it did not learn from."""
+        ks = [k for k, (n, _) in seen.items() if len(n)]
+        off = {k: _per_character(seen[k][0]) for k in ks}
+        raw = {k: float(np.median(seen[k][1][seen[k][0] >= np.median(seen[k][0])])) for k in ks}
+        squares = {k: (seen[k][1] - raw[k]) ** 2 / off[k] for k in ks}
+        common = [squares[k] for k in ks if len(squares[k]) > 1]
+        if not common:  # no spread is known
+            return
+        pooled = float(np.median(np.concatenate(common)))
+        centre, between = np.mean(list(raw.values())), np.var(list(raw.values()), ddof=1) if len(ks) > 1 else math.inf
+        far = []
+        for k in ks:
+            m = len(squares[k])
+            square = max(FLOOR**2, (m * float(np.median(squares[k])) + PRIOR * pooled) / (m + PRIOR))
+            error = square * float(np.median(off[k])) / m
+            drawn = error / (error + between)
+            self.mean[k], self.spread[k], self.unsure[k] = raw[k] + drawn * (centre - raw[k]), math.sqrt(square), math.sqrt(error * (1 - drawn))
+            far.append(self.distance(k, *seen[k]))
+        self.limit = margin * max(1.0, float(np.quantile(np.concatenate(far), keep)))
+
+    def distance(self, k, n: np.ndarray, entropy: np.ndarray) -> np.ndarray:
+        """How far texts of n characters lie above the mean of language k (one, or one a text); nan where it has no calibration."""
+        return (entropy - self.mean[k]) / np.sqrt(self.spread[k] ** 2 * _per_character(n) + self.unsure[k] ** 2)
+
     def find(self, grams_: list[str]) -> np.ndarray:
         """Rows of grams; the last row stands for those that were not seen."""
         if not len(self.hashes):
@@ -165,8 +200,8 @@ class Judge:
         low = h[np.arange(len(texts)), best]
         # the share of the best language if all were as likely before, at the weight of ten characters at most
         share = 1 / np.exp2(-(h - low[:, None]) * np.minimum(n, 10)[:, None]).sum(axis=1)
-        far = (low - m.mean[best]) / (m.spread[best] * np.sqrt(1 / np.maximum(n, 1) + 1e-3))
-        return [{"lang": m.languages[b], "score": float(s), "entropy": float(e), "distance": float(d)} if k else {"lang": UNDECIDED, "score": 0.0, "entropy": None, "distance": None} for k, b, s, e, d in zip(n, best, share, low, far)]
+        far = m.distance(best, n, low)
+        return [{"lang": m.languages[b], "score": float(s), "entropy": float(e), "distance": None if math.isnan(d) else float(d)} if k else {"lang": UNDECIDED, "score": 0.0, "entropy": None, "distance": None} for k, b, s, e, d in zip(n, best, share, low, far)]
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, keep: float = 0.999, margin: float = 2.0) -> Model:
@@ -179,31 +214,33 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     spin = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit(""))), F.lit(1_000_000))
     share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1_000_000, math.ceil(1e6 * sample_docs / n)))])
     cut = F.substring(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{M}]+", " "), 1, SAMPLE_CHARS)
-    rows = known.where(spin < F.element_at(share, F.col("l"))).select("l", (F.pmod(F.xxhash64("i", F.lit(1)), F.lit(5)) == 0).alias("c"), cut.alias("t"))
+    rows = known.where(spin < F.element_at(share, F.col("l"))).select("l", cut.alias("t")).withColumn("c", F.pmod(F.xxhash64("t", F.lit(1)), F.lit(5)) == 0)
     teach: dict[str, Counter] = {l: Counter() for l in sizes}
-    calibrate: dict[str, list[str]] = {l: [] for l in sizes}
+    calibrate: dict[str, Counter] = {l: Counter() for l in sizes}
+    kinds: dict[str, set[int]] = {l: set() for l in sizes}
     for r in rows.toLocalIterator():
         if r.c:
-            calibrate[r.l].append(r.t)
+            calibrate[r.l][r.t] += 1
         else:
             teach[r.l].update(words_of(r.t))
+            kinds[r.l].add(key(r.t))
+    for l in sizes:
+        if not teach[l] or len(kinds[l]) + len(calibrate[l]) < LEAST:
+            for t, times in calibrate[l].items():
+                for w in words_of(t):
+                    teach[l][w] += times
+            calibrate[l].clear()
     model = Model.fit({l: c for l, c in teach.items() if c}, order)
-    judge, far = Judge(model), []
+    judge, seen = Judge(model), {}
     for k, l in enumerate(model.languages):
-        n, h = judge.entropies(calibrate[l])
-        if len(n := n[some := n > 0]):
-            own = h[some, k]
-            long = own[n >= np.median(n)]
-            model.mean[k] = float(np.median(long))
-            model.spread[k] = max(1e-3, float(np.sqrt(np.median((own - model.mean[k]) ** 2 / (1 / n + 1e-3)))))
-            far += ((own - model.mean[k]) / (model.spread[k] * np.sqrt(1 / n + 1e-3))).tolist()
-    if far:
-        model.limit = margin * max(1.0, float(np.quantile(far, keep)))
+        n, h = judge.entropies(list(calibrate[l]))
+        seen[k] = n[n > 0], h[n > 0, k]
+    model.calibrate(seen, keep, margin)
     return model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
-    """docs with a struct column: lang, score (0 to 1), entropy (bits a character), distance (beyond the language's usual), rejected."""
+    """docs with a struct column: lang, score (0 to 1), entropy (bits a character), distance (beyond the language's usual; null without calibration), rejected."""
     spark = docs.sparkSession
     short_batches(spark)
     name, held = uuid.uuid4().hex, spark.sparkContext.broadcast(model)  # at most max_grams rows

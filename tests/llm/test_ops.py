@@ -476,3 +476,20 @@ def test_a_word_is_scored_alike_alone_and_in_a_batch(spoken):
     m = language_id.fit(spoken[1])
     alone, batch = [m.score_words([w])[0] for w in ("water", "x", "straße")], m.score_words(["water", "x", "straße"])
     assert np.allclose(alone, batch)
+
+
+@pytest.mark.parametrize("copies", [0, 1, 60])
+def test_small_and_copied_languages_are_not_rejected(spark, copies):
+    import random
+
+    rng, abc = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    of = {l: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(300)] for l, letters in (("en", abc[:16]), ("de", abc[10:]), ("fr", "aeiouéèàùçlmnrst"))}
+    rows = [(speech(rng, of[l], rng.randint(20, 120)), l) for l in ("en", "de") for _ in range(80)]
+    one = [speech(rng, of["fr"], 150)]
+    rows += [(t, "fr") for t in one * copies + [speech(rng, of["fr"], 150) for _ in range(30 if copies > 1 else 2)]]
+    df = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    new = [speech(rng, of[l], n) for l in sorted(of) for n in (30, 100, 300)]
+    got = language_id.identify(spark.createDataFrame([(t,) for t in new], "text string"), model).collect()
+    assert [r.language.lang for r in got] == [l for l in sorted(of) for _ in range(3)]
+    assert not any(r.language.rejected for r in got) and model.limit < 20
