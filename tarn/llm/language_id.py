@@ -3,8 +3,8 @@
 A text is lower-cased and read as its words of letters, each between word marks; a character's history stays in its word, so the
 score of a text is the sum over its words and each distinct word is scored once (bounded memory). A model of order n interpolates
 absolute discounting at the top with continuation counts below, down to a uniform floor. All n-grams of all languages are in one
-array of sorted 64-bit hashes with a row of each language's discounted probability and a row of each history's back-off weight;
-look-ups are binary searches over whole batches of words.
+array of sorted 64-bit hashes with the discounted probabilities of the languages that have them and the back-off weights of histories, stored
+sparsely, so that memory follows what was seen and not the number of languages; look-ups are binary searches over whole batches of words.
 
 The choice is the language of lowest cross-entropy a character. Rejection is calibrated on training documents that the model did not
 learn from: for each language, how far the cross-entropy of a document of so many characters lies above that language's mean; the limit is
@@ -12,8 +12,9 @@ the largest distance seen at `keep` of them, times a margin, so that clean text
 Spreads are drawn to that of all languages, and means to the centre of all as far as few texts leave them unsure. A language of fewer than LEAST
 distinct texts teaches with all of them; without calibration it never rejects by distance, which is null there.
 
-What is learned from: at most about SAMPLE_DOCS documents of each of the MAX_LANGUAGES most frequent languages and SAMPLE_TOTAL in all (by a
-hash of the id), the first SAMPLE_CHARS characters of their letters; texts to be judged are read whole. Fixed bounds: `order`, `max_grams`.
+What is learned from: of every language about `sample_docs` documents (by a hash of the id; None: all of them), each one whole. Executors count their
+words and score those that calibrate; distinct words with counts, and two numbers a calibrating text, come to the driver. Texts to be
+judged are read whole. The model grows with the distinct n-grams of the sample and is broadcast; `order` is fixed.
 
 Defined results: null texts and texts without letters are `und` with score 0, and rejected; documents without a language don't
 teach; without any teaching documents everything is `und`; equal cross-entropies go to the first language by name; repeated rows are judged alike;
@@ -32,12 +33,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tarn.llm.common import Memo, resident, short_batches
+from tarn.llm.common import Memo, materialize, resident, short_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
-ORDER, SAMPLE_DOCS, SAMPLE_CHARS, MAX_GRAMS, MAX_LANGUAGES = 4, 1500, 4000, 400_000, 400
-#: Documents of all languages that are learned from, so that what comes to the driver is bounded however many languages there are.
-SAMPLE_TOTAL = 20_000
+#: Order of the models; documents of a language that are learned from; distinct words that a worker counts before it passes them on.
+ORDER, SAMPLE_DOCS, FLUSH = 4, 1500, 150_000
+#: Cells (words or grams by languages) that are scored at once, about.
+CELLS = 16_000_000
 #: Distinct texts of a language below which it isn't split; texts that the common spread counts as; least spread, in bits.
 LEAST, PRIOR, FLOOR = 10, 20, 0.5
 OPEN, CLOSE, UNDECIDED = "\x02", "\x03", "und"
@@ -63,6 +65,23 @@ def _per_character(n: np.ndarray) -> np.ndarray:
     return 1 / np.maximum(n, 1) + 1e-3
 
 
+class Sparse:
+    """A matrix whose rows come out dense: cells that aren't stored hold `default`; one more row than given has none stored."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int, columns: int, default: float):
+        order = np.argsort(row, kind="stable")
+        self.begin = np.searchsorted(row[order], np.arange(rows + 2))
+        self.column, self.value, self.columns, self.default = column[order].astype(np.int32), value[order].astype(np.float32), columns, default
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        start, size = self.begin[rows], self.begin[rows + 1] - self.begin[rows]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+        out = np.full((len(rows), self.columns), self.default, np.float32)
+        out[np.repeat(np.arange(len(rows)), size), self.column[at]] = self.value[at]
+        return out
+
+
 class Model:
     """probability[g, l]: discounted part of P(last character | history) in language l; weight[h, l]: what history h leaves to the next shorter one."""
 
@@ -74,12 +93,15 @@ class Model:
         self.limit = math.inf
 
     @classmethod
-    def fit(cls, words: dict[str, Counter], order: int = ORDER, max_grams: int = MAX_GRAMS) -> "Model":
+    def fit(cls, words: dict[str, Counter], order: int = ORDER) -> "Model":
         """words: for each language its words with counts."""
         languages = sorted(words)
-        rows: dict[str, np.ndarray] = {}
-        left: dict[str, np.ndarray] = {}
+        cells = {what: [(np.array([], np.uint64), np.array([], np.int64), np.array([]))] for what in ("probability", "weight")}
         letters = {c for ws in words.values() for w in ws for c in w} | {CLOSE}
+
+        def put(what: str, k: int, values: dict[str, float]) -> None:
+            cells[what].append((np.fromiter(map(key, values), np.uint64, len(values)), np.full(len(values), k), np.fromiter(values.values(), float, len(values))))
+
         for k, language in enumerate(languages):
             top: Counter = Counter()
             for word, n in words[language].items():
@@ -100,23 +122,12 @@ class Model:
                 for g, v in count[n].items():
                     total[g[:-1]] += v
                     kinds[g[:-1]] += 1
-                for g, v in count[n].items():
-                    rows.setdefault(g, np.zeros(len(languages)))[k] = (v - discount) / total[g[:-1]]
-                for h, v in kinds.items():
-                    left.setdefault(h, np.ones(len(languages)))[k] = discount * v / total[h]
-        if len(rows) > max_grams:  # the rarest of the highest order go; their places fall back
-            cut = sorted((g for g in rows if len(g) == order), key=lambda g: (-rows[g].max(), g))
-            for g in cut[max(0, len(cut) - (len(rows) - max_grams)) :]:
-                del rows[g]
-        every = sorted({key(g) for g in rows} | {key("\x04" + h) for h in left})
-        hashes = np.array(every, np.uint64)
-        probability, weight = np.zeros((len(every) + 1, len(languages)), np.float32), np.ones((len(every) + 1, len(languages)), np.float32)
-        place = {h: i for i, h in enumerate(every)}
-        for g, v in rows.items():
-            probability[place[key(g)]] = v
-        for h, v in left.items():
-            weight[place[key("\x04" + h)]] = v
-        return cls(languages, hashes, probability, weight, 1.0 / (len(letters) + 1), order)
+                put("probability", k, {g: (v - discount) / total[g[:-1]] for g, v in count[n].items()})
+                put("weight", k, {"\x04" + h: discount * v / total[h] for h, v in kinds.items()})
+        joined = {what: [np.concatenate(x) for x in zip(*parts)] for what, parts in cells.items()}
+        hashes = np.unique(np.concatenate([h for h, _, _ in joined.values()]))
+        made = {what: Sparse(np.searchsorted(hashes, h), k, v, len(hashes), len(languages), default) for (what, (h, k, v)), default in zip(joined.items(), (0, 1))}
+        return cls(languages, hashes, made["probability"], made["weight"], 1.0 / (len(letters) + 1), order)
 
     def calibrate(self, seen: dict[int, tuple[np.ndarray, np.ndarray]], keep: float, margin: float) -> None:
         """seen: for a language's place, characters and cross-entropies of distinct texts that it did not learn from."""
@@ -158,6 +169,9 @@ class Model:
         flat = [g for x in every for g in x]
         if not flat:
             return np.zeros((0, len(self.languages)))
+        if len(words) > 1 and len(flat) * len(self.languages) > CELLS:
+            half = len(words) // 2
+            return np.concatenate((self.score_words(words[:half]), self.score_words(words[half:])))
         distinct = {g: i for i, g in enumerate(dict.fromkeys(flat))}
         p = np.full((len(distinct), len(self.languages)), self.floor)
         names = list(distinct)
@@ -174,11 +188,14 @@ class Model:
 class Judge:
     def __init__(self, model: Model):
         self.model = model
-        self.memo = Memo(lambda words: (row.tobytes() for row in model.score_words(words)), 150_000, 60)
+        self.memo = Memo(lambda words: (row.tobytes() for row in model.score_words(words)), 600_000 // max(4, len(model.languages)), 60)
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Characters (closing marks included) of each text, and cross-entropy a character in each language."""
         split = [words_of(t) for t in texts]
+        if len(texts) > 1 and sum(map(len, split)) * len(self.model.languages) > CELLS:
+            half = len(texts) // 2
+            return tuple(map(np.concatenate, zip(self.entropies(texts[:half]), self.entropies(texts[half:]))))
         scores = self.memo.of(every := [w for ws in split for w in ws])
         n = np.array([sum(map(len, ws)) + len(ws) for ws in split])
         flat = np.frombuffer(b"".join(map(scores.__getitem__, every))).reshape(-1, len(self.model.languages))
@@ -204,38 +221,56 @@ class Judge:
         return [{"lang": m.languages[b], "score": float(s), "entropy": float(e), "distance": None if math.isnan(d) else float(d)} if k else {"lang": UNDECIDED, "score": 0.0, "entropy": None, "distance": None} for k, b, s, e, d in zip(n, best, share, low, far)]
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, keep: float = 0.999, margin: float = 2.0) -> Model:
-    """The model of the labelled documents. Four fifths of the sample teach, the rest calibrates."""
-    known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
-    sizes = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return Model([], np.array([], np.uint64), np.zeros((1, 0)), np.ones((1, 0)), 0.5, order)
-    sample_docs = min(sample_docs, SAMPLE_TOTAL // len(sizes))
-    spin = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit(""))), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1_000_000, math.ceil(1e6 * sample_docs / n)))])
-    cut = F.substring(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{M}]+", " "), 1, SAMPLE_CHARS)
-    rows = known.where(spin < F.element_at(share, F.col("l"))).select("l", cut.alias("t")).withColumn("c", F.pmod(F.xxhash64("t", F.lit(1)), F.lit(5)) == 0)
-    teach: dict[str, Counter] = {l: Counter() for l in sizes}
-    calibrate: dict[str, Counter] = {l: Counter() for l in sizes}
-    kinds: dict[str, set[int]] = {l: set() for l in sizes}
-    for r in rows.toLocalIterator():
-        if r.c:
-            calibrate[r.l][r.t] += 1
-        else:
-            teach[r.l].update(words_of(r.t))
-            kinds[r.l].add(key(r.t))
-    for l in sizes:
-        if not teach[l] or len(kinds[l]) + len(calibrate[l]) < LEAST:
-            for t, times in calibrate[l].items():
-                for w in words_of(t):
-                    teach[l][w] += times
-            calibrate[l].clear()
-    model = Model.fit({l: c for l, c in teach.items() if c}, order)
-    judge, seen = Judge(model), {}
-    for k, l in enumerate(model.languages):
-        n, h = judge.entropies(list(calibrate[l]))
-        seen[k] = n[n > 0], h[n > 0, k]
-    model.calibrate(seen, keep, margin)
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER, sample_docs: int | None = SAMPLE_DOCS, keep: float = 0.999, margin: float = 2.0) -> Model:
+    """The model of the labelled documents. Four fifths of the sample's distinct texts teach, the rest calibrates."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
+    if sample_docs is not None:
+        spin = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit(""))), F.lit(1_000_000))
+        sizes = rows.groupBy("l").agg(F.count("*").alias("n"))
+        rows = rows.join(F.broadcast(sizes), "l").where(spin < F.ceil(1e6 * sample_docs / F.col("n")))  # one row a language
+    calibrates = F.pmod(F.xxhash64("t", F.lit(1)), F.lit(5)) == 0
+    sample = materialize(rows.where(F.col("t").rlike(r"\p{L}")).select("l", "t", calibrates.alias("c")), "language-sample")
+    short_batches(spark)
+    kinds = sample.select("l", "c", F.xxhash64("t")).distinct().groupBy("l").agg(F.count("*").alias("n"), F.sum(F.col("c").cast("int")).alias("c")).collect()
+    split = [r.l for r in kinds if r.n >= LEAST and 0 < r.c < r.n]
+    apart = F.col("c") & F.col("l").isin(split)
+
+    def count(batches):
+        seen: Counter = Counter()
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array([l for l, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["l", "word", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for l, t in zip(*(c.to_pylist() for c in batch.columns)):
+                for w, n in Counter(words_of(t)).items():
+                    seen[l, w] += n
+                if len(seen) > FLUSH:
+                    yield rows()
+        if seen:
+            yield rows()
+
+    teach: dict[str, Counter] = {}
+    for r in sample.where(~apart).select("l", "t").mapInArrow(count, "l string, word string, n bigint").groupBy("l", "word").agg(F.sum("n").alias("n")).toLocalIterator():
+        teach.setdefault(r.l, Counter())[r.word] = r.n
+    model = Model.fit(teach, order)
+    if split and model.languages:
+        held = spark.sparkContext.broadcast(model)
+
+        def scored(batches):
+            judge, place = Judge(held.value), {l: k for k, l in enumerate(held.value.languages)}
+            for batch in batches:
+                ks = np.array([place[l] for l in batch.column(0).to_pylist()], np.int64)
+                n, h = judge.entropies(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(ks), pa.array(n, pa.int64()), pa.array(h[np.arange(len(ks)), ks])], names=["k", "n", "h"])
+
+        got = sample.where(apart).select("l", "t").distinct().mapInArrow(scored, "k bigint, n bigint, h double").where("n > 0").collect()  # a fifth of the sample, numbers only
+        got = np.array(sorted(map(tuple, got))).reshape(-1, 3)
+        model.calibrate({int(k): (got[got[:, 0] == k, 1], got[got[:, 0] == k, 2]) for k in np.unique(got[:, 0])}, keep, margin)
+        held.unpersist()
     return model
 
 
@@ -243,7 +278,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     """docs with a struct column: lang, score (0 to 1), entropy (bits a character), distance (beyond the language's usual; null without calibration), rejected."""
     spark = docs.sparkSession
     short_batches(spark)
-    name, held = uuid.uuid4().hex, spark.sparkContext.broadcast(model)  # at most max_grams rows
+    name, held = uuid.uuid4().hex, spark.sparkContext.broadcast(model)  # the grams of the sample
 
     @F.arrow_udf("struct<lang:string,score:double,entropy:double,distance:double>")
     def judge(text: pa.Array) -> pa.Array:

@@ -493,3 +493,15 @@ def test_small_and_copied_languages_are_not_rejected(spark, copies):
     got = language_id.identify(spark.createDataFrame([(t,) for t in new], "text string"), model).collect()
     assert [r.language.lang for r in got] == [l for l in sorted(of) for _ in range(3)]
     assert not any(r.language.rejected for r in got) and model.limit < 20
+
+
+def test_every_label_and_the_whole_text_teach(spark):
+    def own(k):
+        return "".join(chr(0x4E00 + (k * 7 + j) % 20_000) for j in range(7))
+
+    rows = [(own(k), f"l{k:03d}") for k in range(402)]
+    rows += [("same words here " * 400 + tail * 40, l) for tail, l in (("wolgi zkurt ", "x"), ("brane mosti ", "y")) for _ in range(6)]
+    model = language_id.fit(spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert len(model.languages) == 404
+    got = [r["lang"] for r in language_id.Judge(model).judge([own(0), own(401), "wolgi zkurt", "brane mosti"])]
+    assert got == ["l000", "l401", "x", "y"]
