@@ -56,6 +56,8 @@ KINDS = {
     "person": rf"(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? {NAME}(?: {NAME})?|(?:{'|'.join(GIVEN_F + GIVEN_M)}) {NAME}",
 }
 PATTERN = r"(?<![\p{L}\p{N}_@])(?=[A-Za-z0-9+(\p{Lu}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+#: Country calling codes (E.164): no code begins another one.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 PREFIX = r"^((?:AKIA|ASIA)|gh[pousr]_|sk-|xox[abprs]-|[A-Za-z_-]+ *[=:] *[\"']?)"
 
 
@@ -164,10 +166,10 @@ def _email(raw: Column, key: str, attempt) -> Column:
 
 
 def _phone(raw: Column, what: Column, hash_: Column) -> Column:
-    code = F.regexp_extract(raw, r"^(\+\d{1,3})(?=[ .(-])", 1)
-    rest = F.substring(raw, F.length(code) + 1, F.length(raw))
-    n = F.length(F.regexp_replace(rest, r"\D", ""))
-    return F.concat(code, _digits_into(rest, _random_digits(n, hash_)))
+    """Country code and digits come from the normal form, so that all spellings of a number have the same ones."""
+    code = F.regexp_extract(what, COUNTRY, 1)
+    n = F.length(F.regexp_replace(what, r"\D", "")) - F.length(code)
+    return _digits_into(raw, F.concat(code, _random_digits(n, hash_)))
 
 
 def _secret(raw: Column, hash_: Column) -> Column:

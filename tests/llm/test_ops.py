@@ -353,6 +353,15 @@ def test_surrogates_of_nothing(nothing, without_ids, docs):
     assert rows_of(pii_surrogates.replace(docs, "k").where("doc_id < 50")) == rows_of(docs.where("doc_id < 50"))
 
 
+def test_a_number_is_one_in_all_spellings(spark):
+    raw = "+1 (555) 123-4567 / +15551234567 / +1-555-123-4567 / +49 30 123 4567 / +49301234567 / +420 601 234 567 / +420601234567"
+    (got,) = [r.text.split(" / ") for r in pii_surrogates.replace(spark.createDataFrame([(raw,)], "text string"), "key").collect()]
+    digits = [re.sub(r"\D", "", x) for x in got]
+    assert digits[0] == digits[1] == digits[2] != "15551234567" and digits[3] == digits[4] and digits[5] == digits[6]
+    assert digits[0][0] == "1" and digits[3][:2] == "49" and digits[5][:3] == "420"
+    assert [re.sub(r"\d", "0", x) for x in got] == [re.sub(r"\d", "0", x) for x in raw.split(" / ")]
+
+
 # hidden Markov model
 
 
