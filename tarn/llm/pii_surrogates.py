@@ -3,11 +3,12 @@
 One pattern finds all entities of a text. Each gets a replacement that a keyed hash makes from its normal form: the same entity gets the
 same one everywhere (coreference), of the same kind and shape:
   e-mail addresses keep their shape and top-level domain, and addresses at one domain stay at one domain; telephone numbers keep country code and
-  punctuation; card numbers keep their first digit and grouping and pass the same check sum; IBANs keep country and grouping and
+  punctuation; IPv6 addresses are one entity in all spellings, and come back in full form; card numbers keep their first digit and grouping and pass the same check sum; IBANs keep country and grouping and
   have right check digits; IP addresses stay valid; social-security numbers and secrets keep punctuation, case and the kinds of
   their characters, and a key's public prefix;
-  names after a title or a listed given name: each word gets a name of the same script (Latin, Greek, Cyrillic), case and, for a
-  given name, gender; a family name gets the same one with or without title or given name.
+  names after titles or a listed given name, over initials, particles and up to four capitalised words: each word gets a name of the same
+  script (Latin, Greek, Cyrillic), case and, for a given name, gender; a family name gets the same one with or without title or given
+  name, and where it stands alone in a text that has it in such a name. An initial becomes another letter's; particles stay.
 
 Collisions: the distinct entities of the corpus, per kind, are grouped by their surrogate. Of several entities with one surrogate all but
 the first, and any whose surrogate is itself an entity of the corpus, try again with the next attempt's hash, until none collides. Nearly
@@ -43,19 +44,25 @@ SYLLABLES = {
 ENDINGS = {"latin": {"f": "lina", "m": "ldo", "s": "ner"}, "greek": {"f": "λίνα", "m": "ρος", "s": "νης"}, "cyrillic": {"f": "лина", "m": "мир", "s": "нов"}}
 
 #: Kinds in the order in which they are tried at a place; no kind matches across a line.
-NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+NAME = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))(?=\p{L}))+"
+PARTICLES = "von van der den de del della di da dos du la le ten ter zu zum zur bin ibn al el y".split()
+BEFORE = rf"(?:\p{{Lu}}\.? ){{0,3}}(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
+#: Words of a text as names are compared with them: without a genitive's ending.
+WORD = r"\p{L}+(?:['’-](?!s(?!\p{L}))\p{L}+)*"
+HEX, BYTE = "[0-9A-Fa-f]{1,4}", r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
+    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}+@[\p{L}\p{M}\p{N}-]{1,63}+(?:\.[\p{L}\p{M}\p{N}-]{1,63}+)+",
     "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{16,255}|xox[abprs]-[A-Za-z0-9-]{10,255}"
     r"|(?:[Pp]ass(?:word|wd|phrase)|PASSWORD|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)(?:[_-][A-Za-z]{1,20})? {0,3}[=:] {0,3}[\"']?[A-Za-z0-9+/_.~-]{6,512}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": rf"(?=[0-9A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}(?::{HEX}){{0,5}})?::(?:{HEX}:){{0,5}}(?:{BYTE}\.){{3}}{BYTE}|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\w:]|\.\d)",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\w)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|\d{3}[.-]\d{3}[.-]\d{4}(?!\w)",
-    "person": rf"(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? {NAME}(?: {NAME})?|(?:{'|'.join(GIVEN_F + GIVEN_M)}) {NAME}",
+    "person": rf"(?:(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? ){{1,3}}{BEFORE}{NAME}(?: {BEFORE}{NAME}){{0,3}}|(?:{'|'.join(GIVEN_F + GIVEN_M)})(?: {BEFORE}{NAME}){{1,3}}",
 }
-PATTERN = r"(?<![\p{L}\p{N}_@])(?=[A-Za-z0-9+(\p{Lu}])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+PATTERN = r"(?<![\p{L}\p{N}_@])(?=[\p{L}\p{N}+(:])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: Country calling codes (E.164): no code begins another one.
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 PREFIX = r"^((?:AKIA|ASIA)|gh[pousr]_|sk-|xox[abprs]-|[A-Za-z_-]+ *[=:] *[\"']?)"
@@ -73,6 +80,17 @@ def kind_of(raw: Column) -> Column:
     return out.otherwise(F.lit("secret"))
 
 
+def _full_ip6(low: Column) -> Column:
+    """Eight groups without leading zeros, from any spelling in lower case; one that ends in an IPv4 address has its bytes as two groups."""
+    last = F.transform(F.split(F.regexp_extract(low, r"([\d.]+)$", 1), r"\."), lambda x: x.try_cast("int"))
+    pair = lambda i: F.lower(F.hex(F.get(last, F.lit(i)) * 256 + F.get(last, F.lit(i + 1))))
+    plain = F.when(F.instr(low, ".") > 0, F.concat(F.regexp_replace(low, r"[\d.]+$", ""), pair(0), F.lit(":"), pair(2))).otherwise(low)
+    groups = lambda x: F.regexp_extract_all(x, F.lit("[0-9a-f]+"), 0)
+    left, right = groups(F.substring_index(plain, "::", 1)), groups(F.substring_index(plain, "::", -1))
+    every = F.when(F.instr(plain, "::") > 0, F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)).otherwise(groups(plain))
+    return F.array_join(F.transform(every, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
 def normal(raw: Column, kind: Column) -> Column:
     """What is one entity: addresses without case, numbers without punctuation, secrets without what stands before them."""
     return (
@@ -80,6 +98,7 @@ def normal(raw: Column, kind: Column) -> Column:
         .when(kind.isin("phone", "card", "ssn"), F.concat(F.when(raw.startswith("+"), F.lit("+")).otherwise(F.lit("")), F.regexp_replace(raw, r"\D", "")))
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
         .when(kind == "secret", F.regexp_replace(raw, PREFIX, ""))
+        .when(kind == "ip6", _full_ip6(F.lower(raw)))
         .otherwise(raw)
     )
 
@@ -93,6 +112,8 @@ def _hash(key: str, kind: str, what: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), attempt.cast("string"), what), 512)
 
 
+#: Letters by script, for those that aren't ASCII; scripts that aren't named get ASCII ones.
+OTHER = {"Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя"}
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -101,14 +122,20 @@ def _pick(alphabet: str, n: Column) -> Column:
 
 
 def _shaped(text: Column, hash_: Column, hexadecimal: Column | None = None) -> Column:
-    """Each digit and ASCII letter replaced by one of its kind; the count of letters and digits before a character picks its number, so
+    """Each digit and letter replaced by one of its kind; the count of letters and digits before a character picks its number, so
     punctuation doesn't matter. hexadecimal: where true, lower-case letters stay within a-f."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
 
+    def other(c, n):
+        low = _pick(LOWER, n)
+        for script, letters in OTHER.items():
+            low = F.when(c.rlike(rf"^\p{{Is{script}}}"), _pick(letters, n)).otherwise(low)
+        return F.when(c.rlike(r"^\p{N}"), _pick(DIGITS, n)).when(~c.rlike(r"^\p{L}"), c).when(c != F.lower(c), F.upper(low)).otherwise(low)
+
     def each(c, i):
         n = _number(hash_, i)
         low = _pick(LOWER, n) if hexadecimal is None else F.when(hexadecimal, _pick("abcdef", n)).otherwise(_pick(LOWER, n))
-        return F.when(c.between("0", "9"), _pick(DIGITS, n)).when(c.between("a", "z"), low).when(c.between("A", "Z"), _pick(UPPER, n)).otherwise(c)
+        return F.when(c.between("0", "9"), _pick(DIGITS, n)).when(c.between("a", "z"), low).when(c.between("A", "Z"), _pick(UPPER, n)).when(c < "\x80", c).otherwise(other(c, n))
 
     return F.array_join(F.transform(chars, each), "")
 
@@ -154,6 +181,10 @@ def _ip(raw: Column, hash_: Column) -> Column:
     return F.array_join(F.transform(F.split(raw, r"\."), lambda _, i: (1 + F.pmod(_number(hash_, i), F.lit(254))).cast("string")), ".")
 
 
+def _ip6(hash_: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.hex(F.lit(4096) + _number(hash_, i)))), ":")
+
+
 def _domain(domain: Column, key: str, attempt: Column) -> Column:
     stem, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
     return F.concat(_let(_hash(key, "domain", domain, attempt), lambda h: _shaped(stem, h)), top)
@@ -197,14 +228,25 @@ def _name(word: Column, role: Column, key: str, attempt: Column) -> Column:
     return _let(_let(_hash(key, "name", F.concat_ws("/", role, F.lower(word)), attempt), in_script), cased)
 
 
+def _initial(word: Column, key: str) -> Column:
+    return F.concat(F.substring(_name(F.substring(word, 1, 1), F.lit("s"), key, F.lit(0)), 1, 1), F.substring(word, F.lit(2), F.length(word)))
+
+
 def _words(raw: Column) -> tuple[Column, Column]:
-    """Words of a person's mention, and the role of each: t the title, which stays; f or m a given name; s the family name, the last."""
+    """Words of a person's mention, and the role of each: t a title or a particle, which stay; i an initial; f or m a given name (the first, and
+    listed ones); s a family name (the last, and others)."""
     words = F.split(raw, " ")
-    bare = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
-    titled = bare.isin(*TITLES_F, *TITLES_M, *TITLES_N)
-    female = bare.isin(*TITLES_F, *GIVEN_F) | (~bare.isin(*TITLES_M, *GIVEN_M) & F.get(words, F.lit(1)).isin(*GIVEN_F))
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"\.$", ""))
+    kept, given = [*TITLES_F, *TITLES_M, *TITLES_N, *PARTICLES], [*GIVEN_F, *GIVEN_M]
+    titled = F.get(bare, F.lit(0)).isin(*TITLES_F, *TITLES_M, *TITLES_N)
+    names = F.filter(bare, lambda w: ~w.isin(*kept) & (F.length(w) > 1))
+    first = F.get(names, F.lit(0))
+    female = F.exists(bare, lambda w: w.isin(*TITLES_F)) | (~F.exists(bare, lambda w: w.isin(*TITLES_M)) & first.isin(*GIVEN_F))
     last = F.size(words) - 1
-    return words, F.transform(words, lambda _, i: F.when(titled & (i == 0), "t").when(i == last, "s").otherwise(F.when(female, "f").otherwise("m")))
+    own = lambda w: F.when(w.isin(*GIVEN_F), "f").when(w.isin(*GIVEN_M), "m")
+    lead = lambda w: F.when(w.isin(*given) & ~titled, own(w)).otherwise(F.when(female, "f").otherwise("m"))
+    role = lambda w, i: F.when(w.isin(*kept) & (i < last), "t").when(F.length(w) == 1, "i").when(i == last, "s").when(w == first, lead(w)).otherwise(F.coalesce(own(w), F.lit("s")))
+    return words, F.transform(bare, role)
 
 
 def parts(raw: Column, kind: Column) -> Column:
@@ -212,7 +254,7 @@ def parts(raw: Column, kind: Column) -> Column:
     one = lambda k, what, of: F.struct(k.alias("kind"), what.alias("what"), of.alias("raw"))
     whole, domain = one(kind, normal(raw, kind), raw), F.lower(F.substring_index(raw, "@", -1))
     words, roles = _words(raw)
-    names = F.filter(F.zip_with(words, roles, lambda w, r: one(F.concat(F.lit("name_"), r), F.lower(w), w)), lambda x: x["kind"] != "name_t")
+    names = F.filter(F.zip_with(words, roles, lambda w, r: one(F.concat(F.lit("name_"), r), F.lower(w), w)), lambda x: ~x["kind"].isin("name_t", "name_i"))
     return F.when(kind == "person", names).when(kind == "email", F.array(whole, one(F.lit("domain"), domain, domain))).otherwise(F.array(whole))
 
 
@@ -221,9 +263,9 @@ def surrogate(raw: Column, kind: Column, key: str, attempt) -> Column:
     what = normal(raw, kind)
     hash_ = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt(kind, what).cast("string"), what), 512)
     words, roles = _words(raw)
-    person = F.array_join(F.zip_with(words, roles, lambda w, r: F.when(r == "t", w).otherwise(_name(w, r, key, attempt(F.concat(F.lit("name_"), r), F.lower(w))))), " ")
+    person = F.array_join(F.zip_with(words, roles, lambda w, r: F.when(r == "t", w).when(r == "i", _initial(w, key)).otherwise(_name(w, r, key, attempt(F.concat(F.lit("name_"), r), F.lower(w))))), " ")
     by_hash = lambda h: (
-        F.when(kind == "phone", _phone(raw, what, h)).when(kind == "ip", _ip(raw, h)).when(kind == "card", _card(raw, h)).when(kind == "iban", _iban(raw, h))
+        F.when(kind == "phone", _phone(raw, what, h)).when(kind == "ip", _ip(raw, h)).when(kind == "ip6", _ip6(h)).when(kind == "card", _card(raw, h)).when(kind == "iban", _iban(raw, h))
         .when(kind == "ssn", _digits_into(raw, _random_digits(F.lit(9), h))).otherwise(_secret(raw, h))
     )
     return F.when(kind == "email", _email(raw, key, attempt)).when(kind == "person", person).otherwise(_let(hash_, by_hash))
@@ -273,7 +315,7 @@ def attempts(entities: DataFrame, key: str, most: int = MAX_ATTEMPTS) -> DataFra
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with every entity of the text column replaced by its surrogate."""
     tag = uuid.uuid4().hex[:8]
-    hits, texts, tries = f"__hits_{tag}", f"__text_{tag}", f"__tries_{tag}"
+    hits, texts, tries, names = f"__hits_{tag}", f"__text_{tag}", f"__tries_{tag}", f"__names_{tag}"
     moved = materialize(attempts(found(docs, text_col), key), "pii-attempts")
     pair = lambda kind, what: F.concat_ws("\x1f", kind, what)
     df = docs.withColumn(hits, mentions(text_col))
@@ -288,5 +330,12 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         attempt = lambda kind, what: F.coalesce(F.try_element_at(F.col(tries), pair(kind, what)), F.lit(0))
     made = F.transform(hits, lambda e: surrogate(e["raw"], e["kind"], key, attempt))
     gaps = F.split(F.col(text_col), PATTERN, -1)
+    # names of the text's persons where they stand alone
+    people = F.flatten(F.transform(F.filter(hits, lambda e: e["kind"] == "person"), lambda e: parts(e["raw"], e["kind"])))
+    known = F.transform(F.array_distinct(people), lambda e: F.struct(e["raw"].alias("word"), _name(e["raw"], F.substring(e["kind"], -1, 1), key, attempt(e["kind"], e["what"])).alias("made")))
+    df = df.withColumn(names, once(F.when(F.exists(hits, lambda e: e["kind"] == "person"), known)))
+    token = lambda w: F.coalesce(F.get(F.filter(F.col(names), lambda n: n["word"] == w), F.lit(0))["made"], w)
+    swap = lambda gap: F.when(F.length(gap) == 0, gap).otherwise(F.array_join(F.transform(F.regexp_extract_all(gap, F.lit(rf"{WORD}|[^\p{{L}}]+"), 0), token), ""))
+    gaps = F.when(F.col(names).isNull(), gaps).otherwise(F.transform(gaps, swap))
     new = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(F.slice(gaps, F.lit(2), F.size(hits)), made, lambda gap, s: F.concat(s, gap)), ""))
     return df.withColumn(text_col, once(F.when(F.size(hits) > 0, new).otherwise(F.col(text_col)))).select(*docs.columns)

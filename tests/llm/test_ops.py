@@ -362,6 +362,21 @@ def test_a_number_is_one_in_all_spellings(spark):
     assert [re.sub(r"\d", "0", x) for x in got] == [re.sub(r"\d", "0", x) for x in raw.split(" / ")]
 
 
+def test_long_names_bare_names_and_other_addresses(spark):
+    rows = [
+        (1, "John Quincy Adams met Dr. John A. Smith; Smith left, and Smith's dog."), (2, "Frau Anna von der Heide-Lund and Prof. Dr. Jones"), (3, "an jürgen@firma.de, a@müller.de, юрий@почта.рф"),
+        (4, "at 2001:db8::1 or 2001:0DB8:0:0:0:0:0:1, not std::vector or 12:30:45"), (5, "::ffff:10.1.2.3 is ::ffff:a01:203"), (6, "Smith alone"),
+    ]
+    got = {r.doc_id: r.text for r in pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    m = re.fullmatch(r"(\w+) (\w+) (\w+) met Dr\. (\w+) (\w)\. (\w+); (\w+) left, and (\w+)'s dog\.", got[1])
+    assert m[1] == m[4] and m[6] == m[7] == m[8] and not {"John", "Quincy", "Adams", "Smith"} & set(m.groups())
+    assert re.fullmatch(r"Frau \w+lina von der \w+ and Prof\. Dr\. \w+", got[2]) and not re.search("Anna|Heide|Lund|Jones", got[2])
+    assert re.fullmatch(r"an \w{6}@\w{5}\.de, \w@\w{6}\.de, [а-я]{4}@[а-я]{5}\.рф", got[3]) and not re.search("jürgen|firma|müller|юрий|почта", got[3])
+    a, b = re.fullmatch(r"at (\S+) or (\S+), not std::vector or 12:30:45", got[4]).groups()
+    c, d = got[5].split(" is ")
+    assert a == b != c == d and all(len(x.split(":")) == 8 for x in (a, c)) and got[6] == "Smith alone"
+
+
 # hidden Markov model
 
 
