@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tarn.sources.shared import materialize, new_path, shared_dir
+from tarn.sources.shared import materialize, new_path, release, shared_dir
 
-__all__ = ["Memo", "filesystem", "materialize", "new_path", "once", "resident", "shared_dir", "short_batches", "table"]
+__all__ = ["Memo", "filesystem", "materialize", "new_path", "once", "release", "resident", "shared_dir", "short_batches", "table"]
 
 #: Rows in one Arrow batch sent to a Python worker; documents can be long, so batches are short.
 ARROW_ROWS = 400

@@ -7,14 +7,20 @@ small at any size. A bucket that is larger than `chunk` is dealt out as pairs of
 link is lost. In a bucket, fingerprints are sorted by Gray rank, runs of `FANOUT` share a node that holds the bits they have in common,
 and nodes are grouped again upwards; a search adds up differences from node to node and leaves a group once they exceed the radius.
 Only a spanning forest of each bucket's links is passed on, which keeps components whole without emitting all pairs.
-Components: alternating large-star and small-star rounds over a checkpointed edge table.
+Components: alternating large-star and small-star rounds over a table of edges between distinct fingerprints.
 
-Defined results: null or empty texts have fingerprint zero, which links like any other; a row with a null id takes part in its
-fingerprint but can't name a component (null if it has only such rows); repeated rows have equal results.
+Rows meet their component by a join on the fingerprint. Fingerprints that more than one row in HOT_CODES has are fewer than HOT_CODES, and are
+broadcast, so a third of all rows being copies of one text makes no hot task.
+
+Defined results: null or empty texts have fingerprint zero, which links like any other. Links are between fingerprints: a row with a null
+id links like any other, but can't name a component (null if it has only such rows); rows that share an id aren't linked by that; repeated
+rows have equal results. Survivors: of each component the row of the smallest id (a null id last), of several rows with that id the one whose
+text has the smallest MD5, and of rows equal in both any one.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 from math import comb
 
@@ -23,11 +29,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tarn.llm.common import materialize, short_batches
+from tarn.llm.common import materialize, release, short_batches
 
 SEED, FANOUT = 42, 8
 #: Fingerprints of one bucket that one task compares; and the mean size of a bucket that `keep` is chosen for.
 CHUNK, BUCKET = 4096, 1024
+#: Codes that are broadcast to the rows that have them (fewer than this many); removed rows that are broadcast to the documents (32 bytes each).
+HOT_CODES, REMOVED_BOUND = 1000, 100_000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -206,7 +214,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         star = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         star = star.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = materialize(star, "components")
+        edges, before = materialize(star, "components"), edges
+        release(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if tuple(state) == seen or state[0] == state[2] and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
@@ -216,37 +225,87 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def row_key(id_, text):
+    """16 bytes for an id and a text, null ids and null texts included."""
+    return F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
+    """A table of doc_id and code (and key) of every row."""
+    short_batches(docs.sparkSession)
+    key = [row_key(F.col(id_col), F.col(text_col)).alias("key")] if keyed else []
+    return materialize(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *key, fingerprint_udf(F.col(text_col)).alias("code")), "simhash")
+
+
+def groups(rows: DataFrame, radius: int = 4) -> DataFrame:
+    """A table of the distinct codes of rows (doc_id, code): code, n (rows that have it), label (the smallest code reachable), component_id (the
+    smallest doc_id of the rows of all codes reachable)."""
+    nodes = materialize(rows.groupBy("code").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
+    found = components(link_nodes(nodes.select("code", F.col("code").alias("node")), radius)).withColumnRenamed("node", "code")
+    linked = materialize(nodes.join(found, "code"), "simhash-linked")
+    low = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+    alone = nodes.join(linked.select("code"), "code", "left_anti").select("code", "n", F.col("code").alias("label"), F.col("first").alias("component_id"))
+    return materialize(linked.join(low, "label").select("code", "n", "label", "component_id").unionByName(alone), "simhash-groups")
+
+
+def _by_code(rows: DataFrame, codes: DataFrame, total: int) -> DataFrame:
+    """rows with the columns of their code (those without one go); total: rows altogether. Codes of many rows are broadcast."""
+    often = F.col("n") * HOT_CODES > total
+    hot = codes.where(often)
+    rest = rows.join(F.broadcast(hot.select("code")), "code", "left_anti")
+    return rows.join(F.broadcast(hot), "code").unionByName(rest.join(codes.where(~often), "code"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable over links, itself included)."""
-    short_batches(docs.sparkSession)
-    prints = materialize(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("code")), "simhash")
-    nodes = materialize(prints.groupBy("code").agg(F.min("doc_id").alias("first")).withColumn("node", F.coalesce("first", F.lit(None).cast("bigint"))), "simhash-nodes")
-    found = components(link_nodes(nodes.where("node is not null").select("code", "node"), radius))
-    labels = nodes.join(found, "node", "left").select("code", F.coalesce("label", "node").alias("component_id"))
-    return prints.join(labels, "code", "left").select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _rows(docs, id_col, text_col)
+    return _by_code(rows, groups(rows, radius), rows.count()).select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """docs with one row for each component: that of the smallest id. Rows without an id can't be named and stay; of rows that repeat an id one stays."""
-    named = materialize(near_duplicates(docs, id_col, text_col, radius).where("doc_id is not null"), "simhash-groups")
-    keep = named.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi")
-    n = named.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    if n.n != n.d:
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
-
-
-def brute_force(rows: list[tuple], radius: int = 4) -> list[tuple]:
-    """near_duplicates by comparing all pairs; for tests on small inputs."""
-    codes = [fingerprint(t) for _, t in rows]
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if (codes[i] ^ codes[j]).bit_count() <= radius and group[i] != group[j]:
-                a, b = group[i], group[j]
-                group = [a if g == b else g for g in group]
-    low = {}
-    for (doc, _), g in zip(rows, group):
-        low[g] = min(doc, low.get(g, doc))
-    return [(doc, f"{c:016x}", low[g]) for (doc, _), c, g in zip(rows, codes, group)]
+    """docs with one row for each component (which one: see above). The rows to remove are known by id and text, and anti-joined: broadcast up to
+    REMOVED_BOUND of them, shuffled beyond that."""
+    rows = _rows(docs, id_col, text_col, keyed=True)
+    codes = groups(rows.select("doc_id", "code"), radius)
+    # only rows of codes that share their component, or are several themselves, can go
+    shared = codes.groupBy("label").agg(F.sum("n").alias("rows")).where("rows > 1")
+    members = materialize(_by_code(rows, codes.join(shared.select("label"), "label", "left_semi").select("code", "label", "n"), rows.count()), "simhash-members")
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key")
+    keeper = members.groupBy("label").agg(F.min(rank).alias("k"), F.count("*").alias("rows")).select(F.col("k.key").alias("key"))
+    out = materialize(members.join(keeper.select("key"), "key", "left_anti").select("key").distinct(), "simhash-removed")
+    again = materialize(members.join(keeper, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "simhash-repeated")
+    name = "__key"
+    while name in docs.columns:
+        name += "_"
+    few = lambda df: F.broadcast(df) if df.count() <= REMOVED_BOUND else df
+    keyed = docs.withColumn(name, row_key(F.col(id_col), F.col(text_col)))
+    kept = keyed.join(few(out.withColumnRenamed("key", name)), name, "left_anti")
+    if not again.isEmpty():
+        twice = few(again.withColumnRenamed("key", name))
+        kept = kept.join(twice, name, "left_anti").unionByName(kept.join(twice, name, "left_semi").dropDuplicates([name]))
+    return kept.select(*docs.columns)
+
+
+def brute_force(rows: list[tuple], radius: int = 4, width: int = 4) -> list[tuple]:
+    """near_duplicates bit by bit and by comparing all pairs; shares nothing with the operator; for tests on small inputs."""
+
+    def bits(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        if not words:
+            return 0
+        shingles = [words] if len(words) < width else [words[i : i + width] for i in range(len(words) - width + 1)]
+        hashes = [xxhash.xxh64(" ".join(s).encode(), seed=42).intdigest() for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    codes = [bits(t) for _, t in rows]
+    near, seen, low = {a: [b for b in set(codes) if bin(a ^ b).count("1") <= radius] for a in set(codes)}, {}, {}
+    for start in near:
+        stack = [] if start in seen else [start]
+        while stack:
+            if (at := stack.pop()) not in seen:
+                seen[at] = start
+                stack += near[at]
+    for (doc, _), c in zip(rows, codes):
+        if doc is not None:
+            low[seen[c]] = min(doc, low.get(seen[c], doc))
+    return [(doc, format(c, "016x"), low.get(seen[c])) for (doc, _), c in zip(rows, codes)]
