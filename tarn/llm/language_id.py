@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import uuid
 from collections import Counter
 
@@ -35,7 +36,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tarn.llm.common import Memo, materialize, resident, short_batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are word characters but no letters (½, ², ①), by rule from the Unicode data: what is left of \w without them, digits and the
+#: underscore is what Unicode calls letters.
+NUMBERS = "".join(c for c in map(chr, range(0xA0, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 #: Order of the models; documents of a language that are learned from; distinct words that a worker counts before it passes them on.
 ORDER, SAMPLE_DOCS, FLUSH = 4, 1500, 150_000
 #: Cells (words or grams by languages) that are scored at once, about.
