@@ -39,7 +39,7 @@ def test_memo_is_bounded():
 @pytest.fixture(scope="module")
 def items(texts):
     long = texts[3][1].split()
-    return [(1, " ".join(texts[5][1].split()[:20])), (2, "short, item!"), (3, ""), (4, None), (5, " ".join(long[:15])), (6, " ".join(long[:15])), (None, "no id at all")]
+    return [(1, " ".join(texts[5][1].split()[:20])), (2, "short, item!"), (3, ""), (4, None), (5, " ".join(long[:15])), (6, " ".join(long[:15])), (None, " ".join(texts[7][1].split()[:30])), (None, "日本語のテキスト")]
 
 
 @pytest.fixture(scope="module")
@@ -48,14 +48,19 @@ def benchmark(spark, items):
 
 
 def test_decontamination_equals_brute_force(docs, benchmark, texts, items):
-    want = decontamination.brute_force(texts, [x for x in items if x[0] is not None])
-    assert rows_of(decontamination.digest(docs, benchmark)) == twice(want)
-    assert any(r[5] for r in want) and not all(r[5] for r in want)
-
-
-def test_decontamination_by_blocks_and_spans(spark, docs, benchmark, texts):
-    one, many = (decontamination.scan_benchmark(docs, benchmark, block_chars=n).select("doc_id", "text", "contamination", "n_words") for n in (10**6, 100))
-    digest = lambda df: rows_of(df.select("doc_id", "contamination.n_words", "contamination.n_hit", F.array_join("contamination.items", ",").alias("i")))
+    want = {r[0]: r for r in decontamination.brute_force(texts, items)}
+    assert rows_of(decontamination.digest(docs, benchmark)) == twice(list(want.values()))
+    assert any(r[5] for r in want.values()) and not all(r[5] for r in want.values())
+    assert want[7][2] > 0 and want[7][3] == 0 and want[7][5]  # an item without an id
+
+
+def test_many_blocks_are_one_pass(spark, docs, benchmark, texts, monkeypatch):
+    files = []
+    monkeypatch.setattr(decontamination, "_blocks_udf", lambda paths, *a, own=decontamination._blocks_udf: files.append(paths) or own(paths, *a))
+    one, many = (decontamination.scan_benchmark(docs, benchmark, block_chars=n, scan_bytes=20_000) for n in (10**6, 100))
+    assert len(files) == 1 and len(files[0]) > 5
+    assert many._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # all blocks in one pass over the documents
+    digest = lambda df: rows_of(df.select("doc_id", "text", "contamination.*"))
     assert digest(one) == digest(many)
     for r in one.where("doc_id = 5").collect():
         span = r.contamination.spans[0]
@@ -117,9 +122,50 @@ def test_components_of_a_long_chain(spark):
 
 def test_survivors(spark, docs, nothing, without_ids, texts):
     kept = [r.doc_id for r in simhash.survivors(docs).collect()]
-    assert len(kept) == len(set(kept)) == len({c for _, _, c in simhash.brute_force(texts)})
+    assert sorted(kept) == sorted({c for _, _, c in simhash.brute_force(texts)})
     assert simhash.survivors(nothing).count() == 0 and simhash.survivors(without_ids).count() == 2
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.near_duplicates(without_ids).count() == 2
+    assert simhash.survivors(docs).columns == docs.columns
+
+
+def _odd_rows():
+    a, b, c = ("one two three four five six seven " + x for x in ("a", "different end of this text here b", "nothing shared by the other c"))
+    return [(3, a), (5, a), (5, b), (None, a), (None, c), (None, c), (8, c + " entirely unlike, longer"), (9, None), (None, ""), (9, ""), (5, b), (7, "z"), (7, "z"), (None, "w")]
+
+
+@pytest.mark.parametrize("bound", [-1, 1000])
+def test_repeated_and_null_ids(spark, bound, monkeypatch):
+    monkeypatch.setattr(simhash, "REMOVED_BOUND", bound)
+    rows = _odd_rows()
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, key int").repartition(4)
+    want = simhash.brute_force(rows)
+    assert rows_of(simhash.near_duplicates(df)) == sorted(want, key=repr)
+    kept = simhash.survivors(df).collect()
+    near = {d: c for d, _, c in want}
+    assert near[3] == 3 and {c for d, _, c in want if d == 5} == {3, 5}  # sharing an id is no link
+    # one row of each component, of its smallest id
+    by_row = [c for _, _, c in simhash.brute_force([(i, t) for i, (_, t) in enumerate(rows)])]
+    first = {}
+    for i, g in enumerate(by_row):
+        first.setdefault(g, []).append(i)
+    assert sorted(by_row[r.key] for r in kept) == sorted(first)
+    for r in kept:
+        ids = [rows[i][0] for i in first[by_row[r.key]] if rows[i][0] is not None]
+        assert r.doc_id == (min(ids) if ids else None)
+    assert {(r.doc_id, r.text) for r in kept} >= {(3, rows[0][1]), (5, rows[2][1]), (7, "z"), (None, rows[4][1]), (None, "w")}
+
+
+def test_a_null_id_links_others(spark, monkeypatch):
+    codes = {"a": 0, "b": 0xF, "c": 0xFF}
+    df = spark.createDataFrame([(3, "a"), (None, "b"), (4, "c")], "doc_id long, text string")
+    rows = df.select("doc_id", F.create_map(*[F.lit(x) for p in codes.items() for x in p])[F.col("text")].cast("long").alias("code"))
+    assert {(r.code, r.component_id) for r in simhash.groups(rows).collect()} == {(0, 3), (0xF, 3), (0xFF, 3)}
+
+
+@pytest.mark.parametrize("often", [1, 1000])
+def test_rows_of_hot_codes(spark, docs, texts, often, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_CODES", often)
+    assert rows_of(simhash.near_duplicates(docs)) == twice(simhash.brute_force(texts))
 
 
 # sentencepiece
@@ -488,6 +534,56 @@ def test_held_out_accuracy_and_rejection(spoken, nothing, without_ids):
     assert {r.lang_pred for r in language_id.digest(without_ids).collect()} == {"und"}
 
 
+def test_numbers_are_no_letters(spark, spoken):
+    odd = spark.createDataFrame([("½ ② ①",), ("x²",), ("Ⅳ _ 12",), ("日",)], "text string")
+    got = language_id.identify(odd, language_id.fit(spoken[1])).collect()
+    assert [r.language.lang == "und" for r in got] == [True, False, True, False]
+
+
+def brute_kneser_ney(words, order, char, history, alphabet):
+    """P(char | history) in one language by the definition: interpolated absolute discounting, continuation counts below the top."""
+    places = [(language_id.OPEN + w + language_id.CLOSE, n) for w, n in words.items()]
+    grams = Counter()
+    for s, n in places:
+        for i in range(1, len(s)):
+            grams[s[max(0, i + 1 - order) : i + 1]] += n
+
+    def count(g):
+        longer = sum(1 for x in known[len(g) + 1] if x[1:] == g) if len(g) < order else 0
+        return grams[g] + longer
+
+    known = {order + 1: set()}
+    for n in range(order, 0, -1):
+        known[n] = {g for g in grams if len(g) == n} | {g[1:] for g in known[n + 1]}
+    counts = {n: {g: count(g) for g in known[n]} for n in range(1, order + 1)}
+
+    def p(g):
+        if not g:
+            return 1 / (alphabet + 1)
+        c = counts[len(g)]
+        once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        same = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+        if not same:
+            return p(g[1:])
+        total = sum(same.values())
+        return (max(c.get(g, 0) - discount, 0) if g in c else 0) / total + discount * len(same) / total * p(g[1:])
+
+    return p((history + char)[-order:])
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_kneser_ney_equals_the_definition(order):
+    rng = __import__("random").Random(order)
+    words = {l: Counter("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(60)) for l in ("x", "y")}
+    m = language_id.Model.fit(words, order=order)
+    letters = len({c for ws in words.values() for w in ws for c in w}) + 1
+    for word in ("abc", "dddd", "a", "zq", "abcdabcd"):
+        s = language_id.OPEN + word + language_id.CLOSE
+        want = [sum(math.log2(brute_kneser_ney(words[l], order, s[i], s[:i], letters)) for i in range(1, len(s))) for l in ("x", "y")]
+        assert m.score_words([word])[0] == pytest.approx(want, rel=1e-4)
+
+
 def test_labels_are_no_inputs(spoken):
     _, df = spoken
     model = language_id.fit(df)
