@@ -11,9 +11,14 @@ same one everywhere (coreference), of the same kind and shape:
   name, and where it stands alone in a text that has it in such a name. An initial becomes another letter's; particles stay.
 
 Collisions: the distinct entities of the corpus, per kind, are grouped by their surrogate. Of several entities with one surrogate all but
-the first, and any whose surrogate is itself an entity of the corpus, try again with the next attempt's hash, until none collides. Nearly
-all entities keep attempt 0; only the others are carried to the texts that hold them, by a join on the text's hash, which broadcasts them
-up to MAP_BOUND texts (counted) and shuffles beyond that.
+the first, and any whose surrogate is itself an entity of the corpus, try again with the next attempt's hash, until none collides; what is settled
+stays. A shape may have no free value left (all one-letter domains are real): from attempt GROW on each attempt adds a character to the surrogate (an
+IPv4 address becomes an IPv6 one), so there always is one. Nearly all entities keep attempt 0; only the others are carried to the texts that hold them,
+by a join on the text's hash, which broadcasts up to MAP_BOUND of them (counted) and shuffles beyond that.
+
+Texts are scanned twice: once for the table of their entities, from which collisions and the few later attempts are worked out, and once to
+be rewritten. Patterns are linear in a text and need no stack that grows with it (repeated groups are possessive or bounded), and nothing that is
+found is cut at a length.
 
 Defined results: null stays null and empty stays empty; texts without entities come back unchanged, byte for byte; repeated rows
 are rewritten alike; other columns, whatever their names, are carried along unread. The key is a parameter; without it surrogates can't be
@@ -26,9 +31,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tarn.llm.common import materialize, once
+from tarn.llm.common import materialize, once, release
 
-MAP_BOUND, MAX_ATTEMPTS = 2000, 12
+#: Moved entities of texts that are broadcast; the attempt from which on surrogates grow.
+MAP_BOUND, GROW = 20_000, 6
 
 #: Titles and given names by gender, and syllables by script.
 TITLES_F = "Mrs Ms Miss Madam Lady Frau Mme Mlle Madame Sra Srta Señora Señorita".split()
@@ -44,28 +50,31 @@ SYLLABLES = {
 ENDINGS = {"latin": {"f": "lina", "m": "ldo", "s": "ner"}, "greek": {"f": "λίνα", "m": "ρος", "s": "νης"}, "cyrillic": {"f": "лина", "m": "мир", "s": "нов"}}
 
 #: Kinds in the order in which they are tried at a place; no kind matches across a line.
-NAME = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))(?=\p{L}))+"
+NAME = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))(?=\p{L}))++"
 PARTICLES = "von van der den de del della di da dos du la le ten ter zu zum zur bin ibn al el y".split()
 BEFORE = rf"(?:\p{{Lu}}\.? ){{0,3}}(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
 #: Words of a text as names are compared with them: without a genitive's ending.
-WORD = r"\p{L}+(?:['’-](?!s(?!\p{L}))\p{L}+)*"
+WORD = r"\p{L}++(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
+#: What stands before a name in forms and letters.
+LABELS = "Name name Contact contact Author author Signed signed Customer customer Patient patient Attn Dear Sincerely Regards".split()
 HEX, BYTE = "[0-9A-Fa-f]{1,4}", r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 KINDS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}+@[\p{L}\p{M}\p{N}-]{1,63}+(?:\.[\p{L}\p{M}\p{N}-]{1,63}+)+",
-    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{16,255}|xox[abprs]-[A-Za-z0-9-]{10,255}"
-    r"|(?:[Pp]ass(?:word|wd|phrase)|PASSWORD|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)(?:[_-][A-Za-z]{1,20})? {0,3}[=:] {0,3}[\"']?[A-Za-z0-9+/_.~-]{6,512}",
+    "email": r"(?<![\p{L}\p{M}\p{N}][._%+-]{1,3})[\p{L}\p{N}_][\p{L}\p{M}\p{N}._%+-]*+@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)++",
+    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16,}+|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
+    r"|(?:[A-Za-z0-9]{1,20}+[_-]){0,3}(?:[Pp]ass(?:word|wd|phrase)|PASSWORD|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)(?:[_-][A-Za-z]{1,20})? {0,3}[=:] {0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}+",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip6": rf"(?=[0-9A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}(?::{HEX}){{0,5}})?::(?:{HEX}:){{0,5}}(?:{BYTE}\.){{3}}{BYTE}|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\w:]|\.\d)",
+    "ip6": rf"(?=[0-9A-Fa-f:]{{0,45}}\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}(?::{HEX}){{0,5}})?::(?:{HEX}:){{0,5}}(?:{BYTE}\.){{3}}{BYTE}|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\w:]|\.\d)",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\w)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|\d{3}[.-]\d{3}[.-]\d{4}(?!\w)",
-    "person": rf"(?:(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? ){{1,3}}{BEFORE}{NAME}(?: {BEFORE}{NAME}){{0,3}}|(?:{'|'.join(GIVEN_F + GIVEN_M)})(?: {BEFORE}{NAME}){{1,3}}",
+    "person": rf"(?:(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? ){{1,3}}{BEFORE}{NAME}(?: {BEFORE}{NAME}){{0,3}}|(?:{'|'.join(GIVEN_F + GIVEN_M)})(?:-\p{{Lu}}\p{{L}}++)?(?: {BEFORE}{NAME}){{1,3}}"
+    rf"|(?<=(?<!\p{{L}})(?:{'|'.join(LABELS)})[:,]?[ \n]{{1,2}}){NAME}(?: {BEFORE}{NAME}){{1,3}}",
 }
-PATTERN = r"(?<![\p{L}\p{N}_@])(?=[\p{L}\p{N}+(:])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+PATTERN = r"(?<![\p{L}\p{N}_@])(?=[\p{L}\p{N}+(:_])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 #: Country calling codes (E.164): no code begins another one.
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-PREFIX = r"^((?:AKIA|ASIA)|gh[pousr]_|sk-|xox[abprs]-|[A-Za-z_-]+ *[=:] *[\"']?)"
+PREFIX = r"^((?:AKIA|ASIA)|gh[pousr]_|sk-|xox[abprs]-|[A-Za-z0-9_-]+ *[=:] *[\"']?)"
 
 
 def _let(value: Column, f) -> Column:
@@ -77,7 +86,7 @@ def kind_of(raw: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for name, pattern in KINDS.items():
         out = out.when(raw.rlike(f"^(?:{pattern})$"), F.lit(name))
-    return out.otherwise(F.lit("secret"))
+    return out.when(raw.rlike(f"^{NAME}(?: {BEFORE}{NAME}){{1,3}}$"), F.lit("person")).otherwise(F.lit("secret"))  # a name after a label
 
 
 def _full_ip6(low: Column) -> Column:
@@ -147,6 +156,11 @@ def _digits_into(shape: Column, digits: Column) -> Column:
     return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step, lambda a: a["out"])
 
 
+def _longer(text: Column, attempt: Column, by: str) -> Column:
+    """text with a character more for each attempt from GROW on."""
+    return F.when(attempt < GROW, text).otherwise(F.concat(text, F.repeat(F.lit(by), attempt - GROW + 1)))
+
+
 def _random_digits(n: Column, hash_: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _pick(DIGITS, _number(hash_, i))), "")
 
@@ -157,19 +171,19 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def _card(raw: Column, hash_: Column) -> Column:
-    plain = F.regexp_replace(raw, r"\D", "")
-    n = F.length(plain)
+def _card(raw: Column, hash_: Column, attempt: Column) -> Column:
+    plain, shape = F.regexp_replace(raw, r"\D", ""), _longer(raw, attempt, "0")
+    n = F.length(F.regexp_replace(shape, r"\D", ""))
     body = F.concat(F.substring(plain, 1, 1), _random_digits(n - 2, hash_))
-    valid = F.pmod(_luhn_sum(F.substring(plain, F.lit(1), n - 1)) + F.substring(plain, -1, 1).cast("int"), F.lit(10)) == 0
+    valid = F.pmod(_luhn_sum(F.substring(plain, F.lit(1), F.length(plain) - 1)) + F.substring(plain, -1, 1).cast("int"), F.lit(10)) == 0
     check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(body), F.lit(10)), F.lit(10))
     off = F.pmod(check + 1 + F.pmod(_number(hash_, n), F.lit(9)), F.lit(10))
-    return _digits_into(raw, F.concat(body, F.when(valid, check).otherwise(off).cast("string")))
+    return _digits_into(shape, F.concat(body, F.when(valid, check).otherwise(off).cast("string")))
 
 
-def _iban(raw: Column, hash_: Column) -> Column:
+def _iban(raw: Column, hash_: Column, attempt: Column) -> Column:
     plain = F.regexp_replace(raw, " ", "")
-    body = _shaped(F.substring(plain, F.lit(5), F.length(plain)), hash_)
+    body = _shaped(_longer(F.substring(plain, F.lit(5), F.length(plain)), attempt, "0"), hash_)
     chars = F.filter(F.split(F.concat(body, F.substring(plain, 1, 2), F.lit("00")), ""), lambda c: c != "")
     left = F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.between("0", "9"), F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))))
     fresh = F.concat(F.substring(plain, 1, 2), F.lpad((98 - left).cast("string"), 2, "0"), body)
@@ -177,8 +191,9 @@ def _iban(raw: Column, hash_: Column) -> Column:
     return F.when(F.instr(raw, " ") > 0, spaced).otherwise(fresh)
 
 
-def _ip(raw: Column, hash_: Column) -> Column:
-    return F.array_join(F.transform(F.split(raw, r"\."), lambda _, i: (1 + F.pmod(_number(hash_, i), F.lit(254))).cast("string")), ".")
+def _ip(raw: Column, hash_: Column, attempt: Column) -> Column:
+    four = F.array_join(F.transform(F.split(raw, r"\."), lambda _, i: (1 + F.pmod(_number(hash_, i), F.lit(254))).cast("string")), ".")
+    return F.when(attempt < GROW, four).otherwise(_ip6(hash_))
 
 
 def _ip6(hash_: Column) -> Column:
@@ -187,26 +202,26 @@ def _ip6(hash_: Column) -> Column:
 
 def _domain(domain: Column, key: str, attempt: Column) -> Column:
     stem, top = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    return F.concat(_let(_hash(key, "domain", domain, attempt), lambda h: _shaped(stem, h)), top)
+    return F.concat(_let(_hash(key, "domain", domain, attempt), lambda h: _shaped(_longer(stem, attempt, "x"), h)), top)
 
 
 def _email(raw: Column, key: str, attempt) -> Column:
     low = F.lower(raw)
-    local, domain = F.substring_index(raw, "@", 1), F.substring_index(low, "@", -1)
-    return F.concat(_let(_hash(key, "email", low, attempt(F.lit("email"), low)), lambda h: _shaped(local, h)), F.lit("@"), _domain(domain, key, attempt(F.lit("domain"), domain)))
+    local, domain, n = F.substring_index(raw, "@", 1), F.substring_index(low, "@", -1), attempt(F.lit("email"), low)
+    return F.concat(_let(_hash(key, "email", low, n), lambda h: _shaped(_longer(local, n, "x"), h)), F.lit("@"), _domain(domain, key, attempt(F.lit("domain"), domain)))
 
 
-def _phone(raw: Column, what: Column, hash_: Column) -> Column:
+def _phone(raw: Column, what: Column, hash_: Column, attempt: Column) -> Column:
     """Country code and digits come from the normal form, so that all spellings of a number have the same ones."""
     code = F.regexp_extract(what, COUNTRY, 1)
-    n = F.length(F.regexp_replace(what, r"\D", "")) - F.length(code)
-    return _digits_into(raw, F.concat(code, _random_digits(n, hash_)))
+    n = F.length(F.regexp_replace(_longer(what, attempt, "0"), r"\D", "")) - F.length(code)
+    return _digits_into(_longer(raw, attempt, "0"), F.concat(code, _random_digits(n, hash_)))
 
 
-def _secret(raw: Column, hash_: Column) -> Column:
+def _secret(raw: Column, hash_: Column, attempt: Column) -> Column:
     prefix = F.regexp_extract(raw, PREFIX, 1)
     value = F.substring(raw, F.length(prefix) + 1, F.length(raw))
-    return F.concat(prefix, _shaped(value, hash_, value.rlike(r"^[0-9a-f]+$")))
+    return F.concat(prefix, _shaped(_longer(value, attempt, "0"), hash_, value.rlike(r"^[0-9a-f]++$")))
 
 
 def _name(word: Column, role: Column, key: str, attempt: Column) -> Column:
@@ -261,36 +276,41 @@ def parts(raw: Column, kind: Column) -> Column:
 def surrogate(raw: Column, kind: Column, key: str, attempt) -> Column:
     """attempt: gives the attempt of (kind, what)."""
     what = normal(raw, kind)
-    hash_ = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt(kind, what).cast("string"), what), 512)
+    n = attempt(kind, what)
     words, roles = _words(raw)
     person = F.array_join(F.zip_with(words, roles, lambda w, r: F.when(r == "t", w).when(r == "i", _initial(w, key)).otherwise(_name(w, r, key, attempt(F.concat(F.lit("name_"), r), F.lower(w))))), " ")
     by_hash = lambda h: (
-        F.when(kind == "phone", _phone(raw, what, h)).when(kind == "ip", _ip(raw, h)).when(kind == "ip6", _ip6(h)).when(kind == "card", _card(raw, h)).when(kind == "iban", _iban(raw, h))
-        .when(kind == "ssn", _digits_into(raw, _random_digits(F.lit(9), h))).otherwise(_secret(raw, h))
+        F.when(kind == "phone", _phone(raw, what, h, n)).when(kind == "ip", _ip(raw, h, n)).when(kind == "ip6", _ip6(h)).when(kind == "card", _card(raw, h, n)).when(kind == "iban", _iban(raw, h, n))
+        .when(kind == "ssn", _digits_into(_longer(raw, n, "0"), _random_digits(F.lit(9) + F.greatest(n - GROW + 1, F.lit(0)), h))).otherwise(_secret(raw, h, n))
     )
+    hash_ = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, n.cast("string"), what), 512)
     return F.when(kind == "email", _email(raw, key, attempt)).when(kind == "person", person).otherwise(_let(hash_, by_hash))
 
 
+def mention(raw: Column) -> Column:
+    return F.struct(raw.alias("raw"), kind_of(raw).alias("kind"))
+
+
 def mentions(text_col: str) -> Column:
     """Array of (raw, kind) of the mentions in a text, in its order."""
-    return F.transform(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), 0), lambda x: F.struct(x.alias("raw"), kind_of(x).alias("kind")))
+    return F.transform(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), 0), mention)
 
 
-def entities_in(text_col: str) -> Column:
-    """Array of (kind, what, raw) of the distinct entities in a text."""
-    return F.array_distinct(F.flatten(F.transform(mentions(text_col), lambda e: parts(e["raw"], e["kind"]))))
+def text_key(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.col(text_col), 256))
 
 
 def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The distinct entities of the corpus: kind, what (normal form), raw (the smallest spelling)."""
-    return docs.select(F.inline(entities_in(text_col))).groupBy("kind", "what").agg(F.min("raw").alias("raw"))
+    """A table of the distinct entities of each text that has any: text (its hash), kind, what (normal form), raw (a spelling)."""
+    every = F.array_distinct(F.flatten(F.transform(mentions(text_col), lambda e: parts(e["raw"], e["kind"]))))
+    rows = docs.select(F.col(text_col), once(every).alias("e")).where(F.size("e") > 0)
+    return materialize(rows.select(text_key(text_col).alias("text"), F.inline("e")), "pii-mentions")
 
 
-def attempts(entities: DataFrame, key: str, most: int = MAX_ATTEMPTS) -> DataFrame:
-    """(kind, what, attempt) of the entities that may not keep attempt 0, so that no two entities of a kind have one surrogate and no
-    surrogate is an entity."""
-    state = materialize(entities.select("kind", "what", "raw", F.lit(0).alias("attempt")), "pii-entities")
-    real = state.select("kind", F.col("what").alias("made"), F.lit(True).alias("real"))
+def attempts(mentioned: DataFrame, key: str) -> DataFrame:
+    """A table (kind, what, attempt) of the entities that may not keep attempt 0, so that no two entities of a kind have one surrogate and no
+    surrogate is an entity. Each round makes and compares only what isn't settled yet."""
+    real = materialize(mentioned.groupBy("kind", "what").agg(F.min("raw").alias("raw")), "pii-entities")
     n = F.col("attempt")
 
     def of(e):
@@ -299,43 +319,55 @@ def attempts(entities: DataFrame, key: str, most: int = MAX_ATTEMPTS) -> DataFra
         return simple.otherwise(_let(surrogate(raw, kind, key, lambda k, _: F.when(k == kind, n).otherwise(0)), lambda x: normal(x, kind)))
 
     own = _let(F.struct("kind", "raw", n.alias("n")), of)
-    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for _ in range(most):
-        made = materialize(state.repartition(tasks, "kind", "what").withColumn("made", own), "pii-made")  # each surrogate is made once, by all executors
-        keeper = made.groupBy("kind", "made").agg(F.min("what").alias("keeper"))
-        again = (F.col("keeper") != F.col("what")) | F.coalesce("real", F.lit(False))
-        judged = made.join(keeper, ["kind", "made"], "left").join(real, ["kind", "made"], "left")
-        judged = materialize(judged.select("kind", "what", "raw", (n + again.cast("int")).alias("attempt"), again.alias("again")), "pii-entities")
-        state = judged.drop("again")
-        if judged.where("again").isEmpty():
-            return state.where("attempt > 0").select("kind", "what", "attempt")
-    raise RuntimeError("surrogates still collide")
+    tasks = int(mentioned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pending, settled = real.withColumn("attempt", F.lit(0)), []
+    while True:
+        made = materialize(pending.repartition(tasks, "kind", "what").withColumn("made", own), "pii-made")  # each surrogate is made once, by all executors
+        taken = real.select("kind", F.col("what").alias("made"))
+        for df in settled:
+            taken = taken.unionByName(df.select("kind", "made"))
+        again = made.join(taken, ["kind", "made"]).select("kind", "what")
+        again = again.unionByName(made.join(made.groupBy("kind", "made").agg(F.min("what").alias("keeper")), ["kind", "made"]).where("keeper <> what").select("kind", "what")).distinct()
+        again = materialize(made.join(again, ["kind", "what"], "left_semi").select("kind", "what", "raw", (n + 1).alias("attempt")), "pii-again")
+        settled.append(materialize(made.join(again, ["kind", "what"], "left_anti").select("kind", "what", "attempt", "made"), "pii-settled"))
+        release(made)
+        if again.isEmpty():
+            break
+        pending = again
+    out = settled[0].where("attempt > 0")
+    for df in settled[1:]:
+        out = out.unionByName(df)
+    return materialize(out.select("kind", "what", "attempt"), "pii-attempts")
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with every entity of the text column replaced by its surrogate."""
     tag = uuid.uuid4().hex[:8]
-    hits, texts, tries, names = f"__hits_{tag}", f"__text_{tag}", f"__tries_{tag}", f"__names_{tag}"
-    moved = materialize(attempts(found(docs, text_col), key), "pii-attempts")
+    hits, gaps, texts, tries, names = f"__hits_{tag}", f"__gaps_{tag}", f"__text_{tag}", f"__tries_{tag}", f"__names_{tag}"
+    mentioned = found(docs, text_col)
+    moved = attempts(mentioned, key)
     pair = lambda kind, what: F.concat_ws("\x1f", kind, what)
-    df = docs.withColumn(hits, mentions(text_col))
+    # one scan: a mark that depends on the key is set around each mention, and the text is split at it
+    mark = F.concat(F.lit("\x1c"), F.substring(F.sha2(F.lit(f"mark\x1f{key}"), 256), 1, 24), F.lit("\x1c"))
+    cut = F.split(F.regexp_replace(F.col(text_col), F.lit(PATTERN), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+    df = docs.withColumn(gaps, once(cut)).withColumn(hits, once(F.transform(F.filter(F.col(gaps), lambda _, i: i % 2 == 1), mention)))
     if moved.isEmpty():
         attempt = lambda kind, what: F.lit(0)
     else:
-        mine = docs.select(F.sha2(F.col(text_col), 256).alias(texts), F.inline(entities_in(text_col))).select(texts, "kind", "what").distinct()
-        maps = mine.join(moved, ["kind", "what"]).groupBy(texts).agg(F.map_from_entries(F.collect_list(F.struct(pair(F.col("kind"), F.col("what")), F.col("attempt")))).alias(tries))
+        mine = mentioned.select("text", "kind", "what").join(moved, ["kind", "what"]).distinct()
+        maps = mine.groupBy(F.col("text").alias(texts)).agg(F.map_from_entries(F.collect_list(F.struct(pair(F.col("kind"), F.col("what")), F.col("attempt")))).alias(tries))
         maps = materialize(maps, "pii-maps")
-        small = maps.count() <= MAP_BOUND
-        df = df.withColumn(texts, F.when(F.size(hits) > 0, F.sha2(F.col(text_col), 256))).join(F.broadcast(maps) if small else maps, texts, "left")
+        small = (maps.agg(F.sum(F.size(tries))).first()[0] or 0) <= MAP_BOUND
+        df = df.withColumn(texts, F.when(F.size(hits) > 0, text_key(text_col))).join(F.broadcast(maps) if small else maps, texts, "left")
         attempt = lambda kind, what: F.coalesce(F.try_element_at(F.col(tries), pair(kind, what)), F.lit(0))
     made = F.transform(hits, lambda e: surrogate(e["raw"], e["kind"], key, attempt))
-    gaps = F.split(F.col(text_col), PATTERN, -1)
+    between = F.filter(F.col(gaps), lambda _, i: i % 2 == 0)
     # names of the text's persons where they stand alone
     people = F.flatten(F.transform(F.filter(hits, lambda e: e["kind"] == "person"), lambda e: parts(e["raw"], e["kind"])))
     known = F.transform(F.array_distinct(people), lambda e: F.struct(e["raw"].alias("word"), _name(e["raw"], F.substring(e["kind"], -1, 1), key, attempt(e["kind"], e["what"])).alias("made")))
     df = df.withColumn(names, once(F.when(F.exists(hits, lambda e: e["kind"] == "person"), known)))
-    token = lambda w: F.coalesce(F.get(F.filter(F.col(names), lambda n: n["word"] == w), F.lit(0))["made"], w)
-    swap = lambda gap: F.when(F.length(gap) == 0, gap).otherwise(F.array_join(F.transform(F.regexp_extract_all(gap, F.lit(rf"{WORD}|[^\p{{L}}]+"), 0), token), ""))
-    gaps = F.when(F.col(names).isNull(), gaps).otherwise(F.transform(gaps, swap))
-    new = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(F.slice(gaps, F.lit(2), F.size(hits)), made, lambda gap, s: F.concat(s, gap)), ""))
+    token = lambda w: F.when(w.rlike(r"^\p{Lu}"), F.coalesce(F.get(F.filter(F.col(names), lambda n: n["word"] == w), F.lit(0))["made"], w)).otherwise(w)
+    swap = lambda gap: F.when(F.length(gap) == 0, gap).otherwise(F.array_join(F.transform(F.regexp_extract_all(gap, F.lit(rf"{WORD}|[^\p{{L}}]++"), 0), token), ""))
+    between = F.when(F.col(names).isNull(), between).otherwise(F.transform(between, swap))
+    new = F.concat(F.get(between, F.lit(0)), F.array_join(F.zip_with(F.slice(between, F.lit(2), F.size(hits)), made, lambda gap, s: F.concat(s, gap)), ""))
     return df.withColumn(text_col, once(F.when(F.size(hits) > 0, new).otherwise(F.col(text_col)))).select(*docs.columns)
