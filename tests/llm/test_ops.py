@@ -423,6 +423,55 @@ def test_long_names_bare_names_and_other_addresses(spark):
     assert a == b != c == d and all(len(x.split(":")) == 8 for x in (a, c)) and got[6] == "Smith alone"
 
 
+def test_no_length_breaks_or_escapes(spark):
+    long = "Kx7" * 3400
+    rows = [
+        (1, "to a@b" + ".cc" * 100_000 + " now"), (2, f"password={long} end"), (3, "token: " + "0a" * 300), (4, "Mr A" + "b" * 50_000 + " left"), (5, "Mr " + "-".join(["Aa"] * 20_000) + " left"),
+        (6, "x" * 300 + "@mail.com and _bob@x.com"), (7, "a.b" * 30_000), (8, ":a" * 30_000), (9, "Mr Smith " + "a-" * 50_000), (10, "sk-" + "Z9" * 400), (11, "@" * 20_000), (12, "1-" * 30_000),
+    ]
+    got = {r.doc_id: r.text for r in pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert len(got) == len(rows) and all(len(got[i]) == len(t) for i, t in rows if i in (1, 2, 3, 6, 7, 8, 10, 11, 12))
+    for i, part in ((1, ".cc.cc"), (2, "Kx7Kx7"), (3, "0a0a0a"), (4, "bbb"), (5, "Aa-Aa"), (6, "xxx"), (6, "bob"), (10, "Z9Z9"), (9, "Smith")):
+        assert part not in got[i]
+    assert all(got[i] == dict(rows)[i] for i in (7, 8, 11)) and got[2].endswith(" end") and got[9].endswith("a-" * 50_000)
+
+
+def test_a_full_shape_grows(spark):
+    rows = [(i, f"mail me@{chr(97 + i)}.co now") for i in range(26)] + [(100 + i, f"secret=abcde{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text for r in pii_surrogates.replace(df, "key").collect()]
+    made = [re.search(r"@(\w+)\.co", t)[1] for t in got if "@" in t]
+    assert len(set(made)) == 26 and not set(made) & {chr(97 + i) for i in range(26)} and all(len(m) > 1 for m in made)
+
+
+KNOWN_FORMS = {
+    "email": lambda r: f"{r.choice('abcdefgh')}{r.choice(['ina', 'odo', 'üra'])}{r.choice(['.', '_', '-', '+', ''])}{r.randint(1, 9999)}@{r.choice(['mail', 'post-amt', 'müll'])}{r.randint(1, 99)}.{r.choice(['com', 'co.uk', 'de', 'example.org'])}",
+    "phone": lambda r: r.choice(["+1 ({:03d}) 555-{:04d}", "+1-{:03d}-555-{:04d}", "({:03d}) 555-{:04d}", "+49 30 {:03d} {:04d}", "+420 {:03d} 555 {:04d}", "{:03d}-555-{:04d}", "+44 20 7{:03d} {:04d}"]).format(r.randint(200, 999), r.randint(0, 9999)),
+    "ip": lambda r: ".".join(str(r.randint(1, 254)) for _ in range(4)),
+    "ip6": lambda r: ":".join(f"{r.randint(1, 65535):x}" for _ in range(8)),
+    "ssn": lambda r: f"{r.randint(100, 899)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}",
+    "iban": lambda r: f"{r.choice(['DE', 'GB', 'FR'])}{r.randint(10, 99)} " + " ".join(f"{r.randint(0, 9999):04d}" for _ in range(4)) + f" {r.randint(10, 99)}",
+    "card": lambda r: r.choice([" ", "-", ""]).join(f"{r.randint(1000, 9999)}" for _ in range(4)),
+    "key": lambda r: r.choice(["AKIA" + "".join(r.choice("ABCDEFGH2345") for _ in range(16)), "ghp_" + "".join(r.choice("abcdefXYZ01") for _ in range(36)), "sk-" + "".join(r.choice("abcdefXYZ01") for _ in range(40))]),
+    "password": lambda r: r.choice(["password={}", "passwd: {}", "api_key = \"{}\"", "SECRET={}", "db_password={}"]).format("".join(r.choice("abcdef012XY") for _ in range(r.randint(8, 30)))),
+    "titled name": lambda r: f"{r.choice(['Mr', 'Mrs.', 'Dr', 'Frau', 'Señor'])} {r.choice('BDFGK')}{r.choice(['arov', 'enström', 'ilić', 'olde'])}",
+    "listed name": lambda r: f"{r.choice(['Anna', 'Peter', 'Olga', 'Hans'])} {r.choice('BDFGK')}{r.choice(['arov', 'enström', 'ilić', 'olde'])}{r.choice(['', '-Lund'])}",
+    "labelled name": lambda r: f"{r.choice(['Name:', 'Contact:', 'Dear', 'Signed,'])} {r.choice('BDFGK')}{r.choice(['ena', 'ovan'])} {r.choice('BDFGK')}{r.choice(['arov', 'enström'])}",
+}
+
+
+@pytest.mark.parametrize("kind", list(KNOWN_FORMS))
+def test_recall_by_kind(spark, kind):
+    import random
+
+    r = random.Random(kind)
+    forms = [KNOWN_FORMS[kind](r) for _ in range(60)]
+    df = spark.createDataFrame([(i, f"some words before, {x} and after it") for i, x in enumerate(forms)], "doc_id long, text string")
+    hit = {h.doc_id for h in df.select("doc_id", F.explode(pii_surrogates.mentions("text")).alias("m")).where(F.length("m.raw") >= 4).collect()}
+    got = {g.doc_id: g.text for g in pii_surrogates.replace(df, "key").collect()} if kind in ("ip6", "labelled name") else {}
+    assert len(hit) >= 0.9 * len(forms) and all(forms[i] not in t for i, t in got.items() if i in hit)
+
+
 # hidden Markov model
 
 
