@@ -338,6 +338,21 @@ def test_order_changes_no_verdict(docs):
     assert measured == sorted(measured, reverse=True)
 
 
+def test_sample_is_small_and_takes_from_all(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"))
+    got = quality_rules.sampled(df, 500).collect()
+    assert 300 < len(got) < 700 and min(r.doc_id for r in got) < 1000 and max(r.doc_id for r in got) > 19_000
+    assert quality_rules.sampled(df.limit(50), 500).count() == 50
+
+
+def test_windows_are_compared_by_words(spark, monkeypatch):
+    """With a hash that all windows share."""
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *a: F.length(a[0]).cast("bigint"))
+    rows = [(1, "ab cd ef gh ab cd ef zz"), (2, "ab cd ef gh ij kl mn op"), (3, "aa bb aa bb aa bb cc dd"), (4, "x " * 30)]
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: measures(t)[4] for d, t in rows}
+
+
 def test_filters_stay_cheap(docs):
     assert quality_rules.judge(docs).where("kept and n_repeat_words = 0").count() <= docs.count()
 
