@@ -1,12 +1,18 @@
 """WARC records in ZIP packages: a writer, and a reader that range-reads records without extracting members.
 
-A package holds two stored members: `archive/data.warc.gz` (one gzip member a record) and `indexes/index.cdx` (a line a record: page
-id, offset, length, type). The reader finds the end-of-directory record from the file's tail, follows the ZIP64 locator where there is
-one, parses the central directory, resolves the members' data offsets from their local headers, and then reads index and records by range.
+A package holds stored members: under `archive/` files of WARC records (one gzip member a record, or plain), and under `indexes/` CDX or CDXJ
+files that give each record's file, offset and length. The reader finds the end-of-directory record from the file's tail, follows the ZIP64
+locator where there is one, parses the central directory, and then reads index and records by range, a member's local header when it is first
+read. Index lines are read by their own words: of CDXJ the fields filename, offset and length; of CDX those that its header line names, or the
+last three. A package without an index is read through, record after record, in bounded pieces; compressed members are refused when they are read.
 
+The writer makes one `archive/data.warc.gz` and an `indexes/index.cdx` (page id, type, length, offset, file name).
 Payloads equal to another's are written as revisit records: the smallest page id of equal payloads is the response, the others refer to
 it; a payload below `min_bytes` is always a response. A revisit keeps the HTTP head with the full payload's length, and its digest.
 
+Records of others: ids are texts; page_id and refers_to are numbers where an id is one of the writer's, else null. Types other than response and
+revisit are skipped, or given with `every`; a payload without an HTTP head is the record's whole block; missing header fields are null.
+
 Defined results: a null payload is an empty one; a row with a null id is a response unless an equal payload has an id, and reads
 back with a null id; rows that repeat an id with equal payloads are responses together; an empty table makes no package; only the named
 columns are read.
@@ -18,9 +24,11 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,9 +37,12 @@ from tarn.llm.common import filesystem, materialize, new_path, short_batches
 
 #: Member names, and signatures and sizes of the ZIP format's records.
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+ARCHIVES, INDEXES, HEADER = "archive/", "indexes/", " CDX p m S V g"
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 END_SIZE, END64_SIZE, LOCATOR64_SIZE, CENTRAL_SIZE, LOCAL_SIZE, COMMENT = 22, 56, 20, 46, 30, 65535
 SMALL, LARGE = 0xFFFF, 0xFFFFFFFF
+#: Bytes read at once where a member is read through.
+PIECE = 1 << 20
 
 
 def _head(pairs) -> bytes:
@@ -58,33 +69,52 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
 
 
 def _split(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """The fields of a head, by lower-case name, and what follows it. A line that begins with white space continues the one before."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, rest
+    out, last = {}, None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            last, _, value = line.partition(":")
+            last = last.strip().lower()
+            out.setdefault(last, value.strip())
+    return out, rest
+
+
+def _page(name: str | None) -> int | None:
+    """The number of one of the writer's ids."""
+    number = (name or "").removeprefix("urn:page:")
+    return int(number) if number != name and number.lstrip("-").isdecimal() else None
 
 
 def parse_record(raw: bytes) -> dict:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (None for a revisit) of one record."""
+    """record_id, page_id, payload_bytes, payload_digest, record_type, refers_to_id, refers_to, url, payload (None for a revisit) of one record."""
     warc, rest = _split(raw)
-    http, payload = _split(rest[: int(warc["content-length"])])
-    page, refers = (warc.get(k, "").strip("<>").removeprefix("urn:page:") for k in ("warc-record-id", "warc-refers-to"))
-    out = {"page_id": None if page == "null" else int(page), "record_type": warc["warc-type"], "refers_to": int(refers) if refers else None, "url": warc["warc-target-uri"]}
-    if warc["warc-type"] == "revisit":
-        return out | {"payload_bytes": int(http["content-length"]), "payload_digest": warc["warc-payload-digest"].removeprefix("sha1:"), "payload": None}
+    kind = warc.get("warc-type", "")
+    size = warc.get("content-length", "")
+    block = rest[: int(size)] if size.isdecimal() else rest.removesuffix(b"\r\n\r\n")
+    is_http = "application/http" in warc.get("content-type", "").replace(" ", "") or (kind in ("response", "revisit") and block[:5] == b"HTTP/")
+    http, payload = _split(block) if is_http else ({}, block)
+    own, other = ((warc[k].strip("<> ") if k in warc else None) for k in ("warc-record-id", "warc-refers-to"))
+    digest = warc.get("warc-payload-digest")
+    out = {"record_id": own, "page_id": _page(own), "record_type": kind, "refers_to_id": other, "refers_to": _page(other), "url": warc.get("warc-target-uri")}
+    if kind == "revisit":
+        length = http.get("content-length", "")
+        return out | {"payload_bytes": int(length) if length.isdecimal() else None, "payload_digest": digest and digest.split(":", 1)[-1], "payload": None}
     return out | {"payload_bytes": len(payload), "payload_digest": sha1_base32(payload), "payload": payload}
 
 
 class Package:
-    """A ZIP file read by ranges; members: name -> (method, offset of its data, stored size)."""
+    """A ZIP file read by ranges; members: name -> [method, offset of its local header, stored size, offset of its data once known]."""
 
     def __init__(self, file, size: int):
         self.file, self.size = file, size
         entries, at, length = self._directory()
-        self.members = {}
-        raw = self.read(at, length)
+        raw, at = self.read(at, length), 0
+        self.members: dict[str, list] = {}
         for _ in range(entries):
-            self._entry(raw)
-            raw = raw[self._next :]
+            at = self._entry(raw, at)
 
     def read(self, at: int, length: int) -> bytes:
         self.file.seek(at)
@@ -111,44 +141,128 @@ class Package:
             entries, length, offset = struct.unpack_from("<QQQ", end64, 32)
         return entries, offset, length
 
-    def _entry(self, raw: bytes) -> None:
-        if raw[:4] != CENTRAL:
+    def _entry(self, raw: bytes, start: int) -> int:
+        """Takes in the entry at `start` of the central directory; where the next one begins."""
+        if raw[start : start + 4] != CENTRAL:
             raise ValueError("no central directory entry")
-        flags, method = struct.unpack_from("<HH", raw, 8)
-        packed, full = struct.unpack_from("<LL", raw, 20)
-        n, extra, comment = struct.unpack_from("<HHH", raw, 28)
-        offset = struct.unpack_from("<L", raw, 42)[0]
-        name = raw[CENTRAL_SIZE : CENTRAL_SIZE + n].decode("utf-8" if flags & 0x800 else "cp437")
-        at, end = CENTRAL_SIZE + n, CENTRAL_SIZE + n + extra
+        flags, method = struct.unpack_from("<HH", raw, start + 8)
+        packed, full = struct.unpack_from("<LL", raw, start + 20)
+        n, extra, comment = struct.unpack_from("<HHH", raw, start + 28)
+        offset = struct.unpack_from("<L", raw, start + 42)[0]
+        at = start + CENTRAL_SIZE + n
+        name, end = raw[at - n : at].decode("utf-8" if flags & 0x800 else "cp437"), at + extra
         while at + 4 <= end:
             kind, length = struct.unpack_from("<HH", raw, at)
             if kind == 1:  # ZIP64: the fields that don't fit, in this order
                 wide = iter(struct.unpack_from(f"<{length // 8}Q", raw, at + 4))
                 full, packed, offset = (next(wide) if x == LARGE else x for x in (full, packed, offset))
             at += 4 + length
-        local = self.read(offset, LOCAL_SIZE)
-        if local[:4] != LOCAL:
-            raise ValueError("no local header")
-        self.members[name] = (method, offset + LOCAL_SIZE + sum(struct.unpack_from("<HH", local, 26)), packed)
-        self._next = end + comment
+        self.members[name] = [method, offset, packed, None]
+        return end + comment
 
     def stored(self, name: str, at: int = 0, length: int | None = None) -> bytes:
-        method, start, size = self.members[name]
+        if name not in self.members:
+            raise ValueError(f"no member {name}")
+        method, header, size, start = self.members[name]
         if method:
             raise ValueError(f"{name} is compressed; only stored members can be read by range")
+        if start is None:
+            local = self.read(header, LOCAL_SIZE)
+            if local[:4] != LOCAL:
+                raise ValueError("no local header")
+            start = self.members[name][3] = header + LOCAL_SIZE + sum(struct.unpack_from("<HH", local, 26))
         length = size - at if length is None else length
         if at < 0 or at + length > size:
             raise ValueError(f"a range beyond {name}")
         return self.read(start + at, length)
 
-    def index(self) -> list[tuple[int, int]]:
-        """Offset and length of each record."""
-        return [tuple(map(int, line.split()[1:3])) for line in self.stored(INDEX).decode().splitlines()]
-
-    def records(self):
-        """Parsed records, each read by its range."""
-        for at, length in self.index():
-            yield parse_record(gzip.decompress(self.stored(DATA, at, length)))
+    def pieces(self, name: str):
+        size = self.members[name][2]
+        for at in range(0, size, PIECE):
+            yield self.stored(name, at, min(PIECE, size - at))
+
+    def archives(self) -> list[str]:
+        return [n for n in self.members if n.startswith(ARCHIVES) and n.endswith((".warc", ".warc.gz"))]
+
+    def _lines(self, name: str):
+        rest = b""
+        inflate = zlib.decompressobj(31) if name.endswith(".gz") else None
+        for piece in self.pieces(name):
+            if inflate:
+                out = b""
+                while piece:  # one gzip member after another
+                    out += inflate.decompress(piece)
+                    piece = inflate.unused_data
+                    inflate = zlib.decompressobj(31) if inflate.eof else inflate
+                piece = out
+            *whole, rest = (rest + piece).split(b"\n")
+            yield from (x.decode("utf-8", "replace").rstrip("\r") for x in whole)
+        if rest:
+            yield rest.decode("utf-8", "replace")
+
+    def index(self):
+        """Member, offset and length of each record that the package's indexes name, each once."""
+        by_file = {n.rsplit("/", 1)[-1]: n for n in self.archives()}
+        seen = set()
+        for name in [n for n in self.members if n.startswith(INDEXES) and n.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz"))]:
+            places = (-3, -2, -1)  # length, offset, file
+            for line in self._lines(name):
+                if line.lstrip().startswith("CDX "):
+                    fields = line.split()[1:]
+                    places = tuple(fields.index(x) for x in "SVg")
+                    continue
+                if not line.strip() or line.startswith("!"):
+                    continue
+                if line.rstrip().endswith("}"):
+                    given = json.loads(line[line.index("{") :])
+                    length, offset, file = given["length"], given["offset"], given["filename"]
+                else:
+                    words = line.split()
+                    length, offset, file = (words[i] for i in places)
+                one = by_file.get(str(file).rsplit("/", 1)[-1]), int(offset), int(length)
+                if one[0] is None:
+                    raise ValueError(f"the index names {file}, which is no member")
+                if one not in seen:
+                    seen.add(one)
+                    yield one
+
+    def _through(self, name: str):
+        """The records of a member, one after another, without an index."""
+        if name.endswith(".gz"):
+            inflate, held = zlib.decompressobj(31), []
+            for piece in self.pieces(name):
+                while piece:
+                    held.append(inflate.decompress(piece))
+                    piece = inflate.unused_data
+                    if inflate.eof:
+                        yield b"".join(held)
+                        inflate, held = zlib.decompressobj(31), []
+            return
+        held = b""
+        for piece in self.pieces(name):
+            held += piece
+            while (head := held.find(b"\r\n\r\n")) >= 0:
+                size = int(_split(held[: head + 4])[0].get("content-length", 0))
+                if len(held) < head + 4 + size + 4:
+                    break
+                yield held[: head + 4 + size]
+                held = held[head + 4 + size + 4 :]
+
+    def raw_records(self):
+        """Bytes of each record: by its range where there is an index."""
+        indexed = any(n.startswith(INDEXES) for n in self.members)
+        for name, at, length in self.index() if indexed else ():
+            raw = self.stored(name, at, length)
+            yield gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+        for name in () if indexed else self.archives():
+            yield from self._through(name)
+
+    def records(self, every: bool = False):
+        """Parsed records: responses and revisits, or of every type."""
+        for raw in self.raw_records():
+            one = parse_record(raw)
+            if every or one["record_type"] in ("response", "revisit"):
+                yield one
 
 
 class PackageWriter:
@@ -156,12 +270,12 @@ class PackageWriter:
 
     def __init__(self, out):
         self.zip = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-        self.data, self.at, self.lines = self.zip.open(DATA, "w", force_zip64=True), 0, []
+        self.data, self.at, self.lines = self.zip.open(DATA, "w", force_zip64=True), 0, [HEADER + "\n"]
 
     def add(self, page_id, url, payload: bytes, refers_to) -> None:
         raw = gzip.compress(record(page_id, url, payload, refers_to), 4, mtime=0)
         self.data.write(raw)
-        self.lines.append(f"{_name(page_id)} {self.at} {len(raw)} {'response' if refers_to is None else 'revisit'}\n")
+        self.lines.append(f"{_name(page_id)} {'response' if refers_to is None else 'revisit'} {len(raw)} {self.at} {DATA.rsplit('/', 1)[-1]}\n")
         self.at += len(raw)
 
     def close(self) -> None:
@@ -221,17 +335,17 @@ def write_packages(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         if name:
             out.close()
             stream.close()
-            yield pa.RecordBatch.from_pydict({"name": [name], "n_records": [len(out.lines)], "n_bytes": [sink.at]})
+            yield pa.RecordBatch.from_pydict({"name": [name], "n_records": [len(out.lines) - 1], "n_bytes": [sink.at]})
 
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("html"))
     marked = mark_revisits(rows, min_bytes=min_bytes).select("page_id", "url", "html", "refers_to")
     return materialize(marked.mapInArrow(write, "name string, n_records bigint, n_bytes bigint"), "packages")
 
 
-def read_packages(packages: DataFrame, path: str, with_payload: bool = False) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in the packages (a table with their names);
-    with_payload: also url and payload (null for a revisit)."""
-    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", url string, payload binary" * with_payload
+def read_packages(packages: DataFrame, path: str, with_payload: bool = False, every: bool = False) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in the packages (a table with their names and n_bytes);
+    with_payload: also url, payload (null for a revisit), record_id and refers_to_id (texts). every: records of other types too."""
+    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", url string, payload binary, record_id string, refers_to_id string" * with_payload
     fields = [x.split()[0] for x in schema.split(", ")]
 
     def read(batches):
@@ -239,12 +353,13 @@ def read_packages(packages: DataFrame, path: str, with_payload: bool = False) ->
             for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, root = filesystem(f"{path}/{name}")
                 with fs.open_input_file(root) as file:
-                    rows = []
-                    for one in Package(file, size).records():
+                    rows, held = [], 0
+                    for one in Package(file, size).records(every):
                         rows.append(one if with_payload else one | {"payload": None})
-                        if len(rows) == 200:
+                        held += len(one["payload"] or b"") if with_payload else 0
+                        if len(rows) == 200 or held > BATCH_BYTES:
                             yield _batch(rows, fields)
-                            rows = []
+                            rows, held = [], 0
                     if rows:
                         yield _batch(rows, fields)
 
@@ -252,8 +367,15 @@ def read_packages(packages: DataFrame, path: str, with_payload: bool = False) ->
     return packages.select("name", "n_bytes").repartition(n).mapInArrow(read, schema)
 
 
-#: Arrow types of what a reader gives.
-TYPES = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "payload": pa.binary()}
+def packages_in(spark, path: str) -> DataFrame:
+    """The table (name, n_bytes) of the packages in a folder, for archives of others."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{zip,wacz}").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("n_bytes"))
+
+
+#: Arrow types of what a reader gives; payload bytes that it gathers.
+TYPES = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "payload": pa.binary(), "record_id": pa.string(), "refers_to_id": pa.string()}
+BATCH_BYTES = 16_000_000
 
 
 def _batch(rows: list[dict], fields: list[str]) -> pa.RecordBatch:
