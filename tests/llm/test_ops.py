@@ -230,22 +230,67 @@ def test_warc_equals_brute_force(spark):
     assert warc_packages.round_trip(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("comment", [b"", b"PK\x05\x06 in a comment"])
-def test_packages_of_others(comment):
-    out = io.BytesIO()
+def foreign(kind, fields, block):
+    head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), *fields, ("Content-Length", len(block))])
+    return f"WARC/1.0\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+
+FOREIGN = [
+    foreign("warcinfo", [("WARC-Record-ID", "<urn:uuid:0>"), ("Content-Type", "application/warc-fields")], b"software: x\r\n"),
+    foreign("response", [("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://a/"), ("Content-Type", "application/http;msgtype=response")], b"HTTP/1.1 200 OK\r\nX: y\r\n z\r\n\r\nabc"),
+    foreign("request", [("WARC-Record-ID", "<urn:uuid:2>"), ("WARC-Concurrent-To", "<urn:uuid:1>")], b"GET / HTTP/1.1\r\n\r\n"),
+    foreign("revisit", [("WARC-Record-ID", "<urn:uuid:3>"), ("WARC-Refers-To", "<urn:uuid:1>"), ("WARC-Payload-Digest", "sha1:ABC")], b""),
+    foreign("resource", [("WARC-Record-ID", "<urn:uuid:4>")], b"plain block"),
+    foreign("response", [("warc-record-id", "<urn:page:7>")], b"no http head"),
+]
+
+
+def foreign_package(index, names=("archive/a.warc.gz", "archive/b.warc")):
+    """Two archives, one of gzip members and one plain, and an index of a kind or none."""
+    out, lines = io.BytesIO(), []
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        with z.open(warc_packages.DATA, "w", force_zip64=True) as f:
-            raw = gzip.compress(warc_packages.record(1, "u", b"abc", None))
-            f.write(raw)
-        z.writestr(warc_packages.INDEX, f"urn:page:1 0 {len(raw)} response\n")
+        for name, records in zip(names, (FOREIGN[:3], FOREIGN[3:])):
+            parts = [gzip.compress(r) if name.endswith("gz") else r for r in records]
+            at = 0
+            for r in parts:
+                lines.append((name.split("/")[1], at, len(r)))
+                at += len(r)
+            z.writestr(name, b"".join(parts))
+        if index == "cdxj":
+            z.writestr("indexes/i.cdxj", "!meta {}\n" + "".join(f'com,x)/ 2024 {{"url": "u", "length": "{n}", "offset": "{o}", "filename": "{f}"}}\n' for f, o, n in lines))
+        elif index == "cdx":
+            z.writestr("indexes/i.cdx", " CDX N b V S g a\n" + "".join(f"k 2024 {o} {n} {f} u\n" for f, o, n in lines))
+        elif index == "gz":
+            text = "".join(f"k 2024 {n} {o} warcs/{f}\n" for f, o, n in lines)
+            z.writestr("indexes/i.cdx.gz", gzip.compress(text[:50].encode()) + gzip.compress(text[50:].encode()))
         z.writestr("packed.txt", "x" * 100, zipfile.ZIP_DEFLATED)
-        z.comment = comment
-    package = warc_packages.Package(out, len(out.getvalue()))
-    assert [r["payload"] for r in package.records()] == [b"abc"]
-    with pytest.raises(ValueError):
-        package.stored("packed.txt")
-    with pytest.raises(ValueError):
-        package.stored(warc_packages.INDEX, 0, 10_000)
+        z.comment = b"PK\x05\x06 in a comment"
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("index", ["cdxj", "cdx", "gz", None])
+def test_packages_of_others(index, monkeypatch):
+    raw = foreign_package(index)
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(warc_packages, "PIECE", piece)
+        package = warc_packages.Package(io.BytesIO(raw), len(raw))
+        got = list(package.records(every=True))
+        assert [r["record_type"] for r in got] == ["warcinfo", "response", "request", "revisit", "resource", "response"]
+        assert [r["record_id"] for r in got] == [f"urn:uuid:{i}" for i in range(5)] + ["urn:page:7"]
+        assert [r["payload"] for r in got[1:]] == [b"abc", b"GET / HTTP/1.1\r\n\r\n", None, b"plain block", b"no http head"]
+        assert got[3]["refers_to_id"] == "urn:uuid:1" and got[3]["payload_digest"] == "ABC" and got[3]["payload_bytes"] is None and got[1]["page_id"] is None and got[5]["page_id"] == 7
+        assert [r["record_type"] for r in package.records()] == ["response", "revisit", "response"]
+    for name, range_ in (("packed.txt", ()), ("archive/b.warc", (0, 10_000)), ("missing", ())):
+        with pytest.raises(ValueError):
+            package.stored(name, *range_)
+
+
+def test_a_folder_of_others_packages(spark, tmp_path):
+    for i, index in enumerate(("cdxj", None)):
+        (tmp_path / f"{i}.wacz").write_bytes(foreign_package(index))
+    path = f"file://{tmp_path}"
+    got = warc_packages.read_packages(warc_packages.packages_in(spark, path), path, with_payload=True).collect()
+    assert sorted((r.record_id, r.record_type) for r in got) == sorted(2 * [("urn:uuid:1", "response"), ("urn:uuid:3", "revisit"), ("urn:page:7", "response")])
 
 
 def test_zip64_directory(monkeypatch):
