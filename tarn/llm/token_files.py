@@ -26,6 +26,14 @@ from tarn.llm.token_counts import encoder
 
 #: Fixed value: stands for a null document id in a .docs file.
 NULL_ID = -(1 << 63)
+#: Bytes of the table for one pair of files, as the optimiser estimates it; most pairs; documents and ids that a reader holds at once (a longer document is read whole).
+PART_BYTES, MOST_PARTS, READ_DOCS, READ_IDS = 256_000_000, 100_000, 2000, 4_000_000
+
+
+def partitions(df: DataFrame) -> int:
+    """spark.sql.shuffle.partitions, or more where a part would be larger than PART_BYTES."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // PART_BYTES)))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -60,8 +68,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, i
             offsets.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    ordered = rows.repartitionByRange(partitions(rows), "doc_id").sortWithinPartitions("doc_id")
     written = materialize(ordered.mapInArrow(write, "part bigint, name string, n_docs bigint, n_ids bigint"), "token-files")
     pairs, base = [], 0
     for row in sorted(written.collect(), key=lambda r: r.part):  # one row a partition
@@ -78,12 +86,40 @@ def read_manifest(path: str) -> dict:
         return json.loads(f.read())
 
 
-def _mapped(path: str, suffix: str, dtype: str) -> np.ndarray:
-    fs, root = filesystem(path + suffix)
-    if fs.type_name == "local":
-        return np.memmap(root, dtype, "r")
-    with fs.open_input_file(root) as f:
-        return np.frombuffer(f.read_buffer(), dtype)
+class Numbers:
+    """Numbers of a file by range: mapped into memory where the file is local, else range-read."""
+
+    def __init__(self, path: str, dtype: str):
+        fs, root = filesystem(path)
+        self.dtype, self.file = np.dtype(dtype), None
+        if fs.type_name == "local":
+            self.mapped = np.memmap(root, self.dtype, "r")
+            self.size = len(self.mapped)
+        else:
+            self.file = fs.open_input_file(root)
+            self.size = self.file.size() // self.dtype.itemsize
+
+    def range(self, a: int, b: int) -> np.ndarray:
+        if self.file is None:
+            return self.mapped[a:b]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((b - a) * width, a * width), self.dtype)
+
+
+def _documents(path: str, pair: dict, dtype: str):
+    """(doc ids, edges of their ids, the ids from the first edge on) of runs of documents."""
+    docs, ids = Numbers(f"{path}/{pair['name']}.docs", "<i8"), Numbers(f"{path}/{pair['name']}.ids", dtype)
+    assert docs.size == 2 * pair["n_docs"] and ids.size == pair["n_ids"], "a file is cut short"
+    for a in range(0, pair["n_docs"], READ_DOCS):
+        b = min(a + READ_DOCS, pair["n_docs"])
+        some = docs.range(2 * a, min(2 * b + 2, docs.size)).reshape(-1, 2)
+        edge = some[:, 1] if b < pair["n_docs"] else np.append(some[:, 1], ids.size)
+        i = 0
+        while i < b - a:
+            j = max(i + 1, int(np.searchsorted(edge, edge[i] + READ_IDS, "right")) - 1)
+            j = min(j, b - a)
+            yield some[i:j, 0], edge[i : j + 1], ids.range(int(edge[i]), int(edge[j]))
+            i = j
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -95,18 +131,12 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     def read(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                pair = pairs[k]
-                docs = _mapped(f"{path}/{pair['name']}", ".docs", "<i8").reshape(-1, 2)
-                ids = _mapped(f"{path}/{pair['name']}", ".ids", dtype)
-                assert len(docs) == pair["n_docs"] and len(ids) == pair["n_ids"], "a file is cut short"
-                edge = np.append(docs[:, 1], len(ids))
-                for a in range(0, len(docs), 2000):
-                    b = min(a + 2000, len(docs))
-                    crc = [zlib.crc32(ids[edge[i] : edge[i + 1]].astype("<u4")) for i in range(a, b)]
-                    doc = docs[a:b, 0]
-                    out = {"doc_id": pa.array(doc, pa.int64(), mask=doc == NULL_ID), "start": pa.array(pair["base"] + edge[a:b]), "n_tokens": pa.array(np.diff(edge[a : b + 1])), "ids_crc32": pa.array(crc, pa.int64())}
+                for doc, edge, ids in _documents(path, pairs[k], dtype):
+                    own = [ids[x - edge[0] : y - edge[0]] for x, y in zip(edge, edge[1:])]
+                    crc = [zlib.crc32(x.astype("<u4")) for x in own]
+                    out = {"doc_id": pa.array(doc, pa.int64(), mask=doc == NULL_ID), "start": pa.array(pairs[k]["base"] + edge[:-1]), "n_tokens": pa.array(np.diff(edge)), "ids_crc32": pa.array(crc, pa.int64())}
                     if with_ids:
-                        out["ids"] = pa.array([ids[edge[i] : edge[i + 1]].astype(np.int64) for i in range(a, b)], pa.list_(pa.int64()))
+                        out["ids"] = pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(out)
 
     n = max(1, len(pairs))
