@@ -351,6 +351,40 @@ def test_token_files(spark, docs, texts, nothing, without_ids):
     assert [r.doc_id for r in token_files.round_trip(without_ids, BPE).collect()] == [None, None]
 
 
+@pytest.mark.parametrize("read_ids", [10, 10**6])
+def test_token_files_by_range(spark, docs, texts, read_ids, monkeypatch):
+    """As a remote store has them: no mapping, ranges only."""
+    path = new_path(spark, "ids")
+    pairs = token_files.write_token_files(docs, BPE, 2, path)
+    monkeypatch.setattr(token_files, "READ_IDS", read_ids)
+    monkeypatch.setattr(token_files, "READ_DOCS", 7)
+    own = token_files.filesystem
+    reads = []
+
+    class Remote:
+        type_name = "remote"
+
+        def __init__(self, fs):
+            self.fs = fs
+
+        def open_input_file(self, root):
+            file = self.fs.open_input_file(root)
+
+            class File:
+                size = staticmethod(file.size)
+                read_at = staticmethod(lambda n, at: reads.append(n) or file.read_at(n, at))
+
+            return File()
+
+    monkeypatch.setattr(token_files, "filesystem", lambda uri: (Remote(own(uri)[0]), own(uri)[1]))
+    ids, got = reference_ids(texts), {}
+    for pair in pairs:
+        for doc, edge, some in token_files._documents(path, pair, "<u2"):
+            got |= {d: some[x - edge[0] : y - edge[0]].tolist() for d, x, y in zip(doc.tolist(), edge, edge[1:])}
+    assert got == {d: [*x, 2] for d, x in ids.items()}
+    assert max(reads) <= 2 * max(read_ids, max(map(len, ids.values())) + 1)
+
+
 # quality
 
 
