@@ -8,7 +8,7 @@ a shared class has its add-half share of the class. Every word has parameters of
 Training: the states begin as distributional clusters (spherical k-means over the frequent classes of a bounded sample of documents; a
 starting point only). Then Baum-Welch runs over all training documents: each partition sums its expected counts (scaled forward and backward
 recursions), a grouped sum adds them up by class, and the model's cells come to the driver; each state's emissions are interpolated with the corpus's.
-It stops once a round gains less than `gain` a token in log10 likelihood, or after `rounds`. A text's score is its exact log10 likelihood by the
+It stops with the round that finds a gain of less than `gain` a token in log10 likelihood, or after `rounds`. A text's score is its exact log10 likelihood by the
 scaled forward recursion.
 
 Word counts are unbounded, so they are never broadcast whole: the at most `hot` most frequent words go to the workers, the others are
@@ -24,6 +24,7 @@ import math
 import string
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tarn.llm.common import materialize, short_batches
 
 #: Latent states; most rounds of Baum-Welch; least gain of a round, in log10 a token; share of the corpus's distribution in each state's.
-STATES, ROUNDS, GAIN, SMOOTH = 8, 12, 5e-3, 2.5e-3
+STATES, ROUNDS, GAIN, SMOOTH = 8, 12, 2e-2, 2.5e-3
 #: Words with a class of their own: one in OWN_SHARE distinct words, within bounds; shared classes; words whose counts go to the workers.
 OWN_SHARE, OWN_LEAST, OWN_MOST, SHARED, HOT = 64, 2000, 200_000, 4096, 250_000
 #: What the first states are made of: about so many documents, of so many tokens at least, and the most frequent classes.
@@ -136,7 +137,7 @@ class Vocabulary:
         (less the counts of the words to be looked up), and those words."""
         words = words_of(text)
         get = self.hot.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         classes = np.zeros(len(words) + 1, np.int32)
         far = np.flatnonzero(at < 0)
         near = at[at >= 0]
@@ -147,21 +148,29 @@ class Vocabulary:
         base = float(self.log[near].sum()) + math.log10(self.end_count + 0.5)
         in_shared = near[self.cls[near] > self.own] if len(near) else near
         left = float(self.log[in_shared].sum()) - float(self.share[classes[classes > self.own] - 1 - self.own].sum())
-        return classes, base, len(near) + (self.end_count > 0), left, tail
+        return classes, base, len(near) + int(self.end_count > 0), left, tail
 
 
 def code(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, fold) -> DataFrame:
     """A table of all texts in classes: row, doc_id, held_out, n_tokens, classes, base, known, rest, tail."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most `hot` words
-    kind = pa.struct([("classes", pa.binary()), ("n", pa.int64()), ("base", pa.float64()), ("known", pa.int64()), ("rest", pa.float64()), ("tail", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))])
-
     @F.arrow_udf("struct<classes:binary,n:bigint,base:double,known:bigint,rest:double,tail:array<struct<word:binary,times:bigint>>>")
     def coded(text: pa.Array) -> pa.Array:
-        out = []
+        classes, base, known, left, word, times, edge = [], [], [], [], [], [], [0]
         for t in text.to_pylist():
-            classes, base, known, left, tail = held.value.code(t)
-            out.append({"classes": classes.tobytes(), "n": len(classes), "base": base, "known": known, "rest": left, "tail": [{"word": w, "times": n} for w, n in Counter(tail).items()]})
-        return pa.array(out, kind)
+            *numbers, tail = held.value.code(t)
+            for column, x in zip((classes, base, known, left), numbers):
+                column.append(x)
+            rare = Counter(tail)
+            word += rare
+            times += rare.values()
+            edge.append(len(word))
+        pairs = pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
+        columns = {
+            "classes": pa.array([x.tobytes() for x in classes], pa.binary()), "n": pa.array([len(x) for x in classes], pa.int64()), "base": pa.array(base, pa.float64()),
+            "known": pa.array(known, pa.int64()), "rest": pa.array(left, pa.float64()), "tail": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pairs),
+        }
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     got = docs.select(F.col(id_col).alias("doc_id"), fold.alias("held_out"), coded(F.col(text_col)).alias("c"))
     cols = [F.col(f"c.{x}").alias(y) for x, y in (("n", "n_tokens"), ("classes", "classes"), ("base", "base"), ("known", "known"), ("rest", "rest"), ("tail", "tail"))]
@@ -341,17 +350,17 @@ def baum_welch(coded: DataFrame, hmm: Hmm, rounds: int = ROUNDS, gain: float = G
             cells = np.concatenate((-1 - np.arange(k + 2), some))
             values = np.vstack((small, emits[some]))
             for at in range(0, len(cells), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(cells[at : at + 10_000]), *[pa.array(values[at : at + 10_000, i]) for i in range(k)]], names=["cell", *columns])
+                yield pa.RecordBatch.from_arrays([pa.array(cells[at : at + 10_000]), *[pa.array(values[at : at + 10_000, i].astype(np.float32)) for i in range(k)]], names=["cell", *columns])
 
-        got = coded.select("classes").mapInArrow(sums, "cell bigint, " + ", ".join(f"{x} double" for x in columns)).groupBy("cell").agg(*[F.sum(x).alias(x) for x in columns]).toArrow()  # own + shared rows
+        got = coded.select("classes").mapInArrow(sums, "cell bigint, " + ", ".join(f"{x} float" for x in columns)).groupBy("cell").agg(*[F.sum(x).alias(x) for x in columns]).toArrow()  # own + shared rows
         cell, value = got["cell"].to_numpy(), np.stack([got[x].to_numpy() for x in columns], axis=1)
         emits, small = np.zeros((c, k)), np.zeros((k + 2, k))
         emits[cell[cell >= 0]], small[-1 - cell[cell < 0]] = value[cell >= 0], value[cell < 0]
         held.unpersist()
         by_round.append(float(small[-1, 0]) / tokens)
-        if len(by_round) > 1 and by_round[-1] - by_round[-2] < gain:
-            break  # this round's likelihood is the present model's
         hmm = hmm.updated(np.concatenate((small[0], small[1:-1].ravel(), emits.T.ravel())), corpus)
+        if len(by_round) > 1 and by_round[-1] - by_round[-2] < gain:
+            break
     return hmm, by_round
 
 
