@@ -6,7 +6,7 @@ same one everywhere (coreference), of the same kind and shape:
   punctuation; IPv6 addresses are one entity in all spellings, and come back in full form; card numbers keep their first digit and grouping and pass the same check sum; IBANs keep country and grouping and
   have right check digits; IP addresses stay valid; social-security numbers and secrets keep punctuation, case and the kinds of
   their characters, and a key's public prefix;
-  names after titles or a listed given name, over initials, particles and up to four capitalised words: each word gets a name of the same
+  names after titles, labels or a listed given name, over initials, particles and up to four capitalised words: each word gets a name of the same
   script (Latin, Greek, Cyrillic), case and, for a given name, gender; a family name gets the same one with or without title or given
   name, and where it stands alone in a text that has it in such a name. An initial becomes another letter's; particles stay.
 
@@ -56,22 +56,23 @@ BEFORE = rf"(?:\p{{Lu}}\.? ){{0,3}}(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}"
 #: Words of a text as names are compared with them: without a genitive's ending.
 WORD = r"\p{L}++(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
 #: What stands before a name in forms and letters.
-LABELS = "Name name Contact contact Author author Signed signed Customer customer Patient patient Attn Dear Sincerely Regards".split()
+LABELS = "Name Contact Author Signed Customer Patient Attn From To".split()
 HEX, BYTE = "[0-9A-Fa-f]{1,4}", r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 KINDS = {
-    "email": r"(?<![\p{L}\p{M}\p{N}][._%+-]{1,3})[\p{L}\p{N}_][\p{L}\p{M}\p{N}._%+-]*+@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)++",
-    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16,}+|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
-    r"|(?:[A-Za-z0-9]{1,20}+[_-]){0,3}(?:[Pp]ass(?:word|wd|phrase)|PASSWORD|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)(?:[_-][A-Za-z]{1,20})? {0,3}[=:] {0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}+",
+    "email": r"(?:(?<![._%+-])|(?<![\p{L}\p{M}\p{N}][._%+-]{1,3}))[\p{L}\p{N}_][\p{L}\p{M}\p{N}._%+-]*+@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)++",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip6": rf"(?=[0-9A-Fa-f:]{{0,45}}\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}(?::{HEX}){{0,5}})?::(?:{HEX}:){{0,5}}(?:{BYTE}\.){{3}}{BYTE}|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\w:]|\.\d)",
+    "ip6": rf"(?=[0-9A-Fa-f]{{0,4}}:)(?=[0-9A-Fa-f:]{{0,45}}\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}(?::{HEX}){{0,5}})?::(?:{HEX}:){{0,5}}(?:{BYTE}\.){{3}}{BYTE}|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\w:]|\.\d)",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\w)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|\d{3}[.-]\d{3}[.-]\d{4}(?!\w)",
-    "person": rf"(?:(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? ){{1,3}}{BEFORE}{NAME}(?: {BEFORE}{NAME}){{0,3}}|(?:{'|'.join(GIVEN_F + GIVEN_M)})(?:-\p{{Lu}}\p{{L}}++)?(?: {BEFORE}{NAME}){{1,3}}"
-    rf"|(?<=(?<!\p{{L}})(?:{'|'.join(LABELS)})[:,]?[ \n]{{1,2}}){NAME}(?: {BEFORE}{NAME}){{1,3}}",
+    "person": rf"(?=\p{{Lu}})(?:(?:(?:{'|'.join(TITLES_F + TITLES_M + TITLES_N)})\.? ){{1,3}}{BEFORE}{NAME}(?: {BEFORE}{NAME}){{0,3}}|(?:{'|'.join(GIVEN_F + GIVEN_M)})(?:-\p{{Lu}}\p{{L}}++)?(?: {BEFORE}{NAME}){{1,3}}"
+    rf"|(?:(?:{'|'.join(LABELS)}):|Dear) {NAME}(?: {BEFORE}{NAME}){{1,3}})",
+    "secret": r"(?=[AaGgPpSsTtx])(?:(?:AKIA|ASIA)[A-Z0-9]{16,}+|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
+    r"|(?:[Pp]ass(?:word|wd|phrase)|PASSWORD|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)(?:[_-][A-Za-z]{1,20})? {0,3}[=:] {0,3}[\"']?[A-Za-z0-9+/_.~-]{6,}+)",
 }
-PATTERN = r"(?<![\p{L}\p{N}_@])(?=[\p{L}\p{N}+(:_])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+#: A secret's name may follow an underscore.
+PATTERN = r"(?<![\p{L}\p{N}@])(?=[\p{L}\p{N}+(:_])(?:(?<!_)(?:" + "|".join(p for name, p in KINDS.items() if name != "secret") + ")|" + KINDS["secret"] + ")"
 #: Country calling codes (E.164): no code begins another one.
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 PREFIX = r"^((?:AKIA|ASIA)|gh[pousr]_|sk-|xox[abprs]-|[A-Za-z0-9_-]+ *[=:] *[\"']?)"
@@ -86,7 +87,7 @@ def kind_of(raw: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for name, pattern in KINDS.items():
         out = out.when(raw.rlike(f"^(?:{pattern})$"), F.lit(name))
-    return out.when(raw.rlike(f"^{NAME}(?: {BEFORE}{NAME}){{1,3}}$"), F.lit("person")).otherwise(F.lit("secret"))  # a name after a label
+    return out.otherwise(F.lit("secret"))
 
 
 def _full_ip6(low: Column) -> Column:
@@ -248,11 +249,11 @@ def _initial(word: Column, key: str) -> Column:
 
 
 def _words(raw: Column) -> tuple[Column, Column]:
-    """Words of a person's mention, and the role of each: t a title or a particle, which stay; i an initial; f or m a given name (the first, and
+    """Words of a person's mention, and the role of each: t a label, a title or a particle, which stay; i an initial; f or m a given name (the first, and
     listed ones); s a family name (the last, and others)."""
     words = F.split(raw, " ")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"\.$", ""))
-    kept, given = [*TITLES_F, *TITLES_M, *TITLES_N, *PARTICLES], [*GIVEN_F, *GIVEN_M]
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"[.:,]$", ""))
+    kept, given = [*LABELS, "Dear", *TITLES_F, *TITLES_M, *TITLES_N, *PARTICLES], [*GIVEN_F, *GIVEN_M]
     titled = F.get(bare, F.lit(0)).isin(*TITLES_F, *TITLES_M, *TITLES_N)
     names = F.filter(bare, lambda w: ~w.isin(*kept) & (F.length(w) > 1))
     first = F.get(names, F.lit(0))
