@@ -550,7 +550,7 @@ KNOWN_FORMS = {
     "password": lambda r: r.choice(["password={}", "passwd: {}", "api_key = \"{}\"", "SECRET={}", "db_password={}"]).format("".join(r.choice("abcdef012XY") for _ in range(r.randint(8, 30)))),
     "titled name": lambda r: f"{r.choice(['Mr', 'Mrs.', 'Dr', 'Frau', 'Señor'])} {r.choice('BDFGK')}{r.choice(['arov', 'enström', 'ilić', 'olde'])}",
     "listed name": lambda r: f"{r.choice(['Anna', 'Peter', 'Olga', 'Hans'])} {r.choice('BDFGK')}{r.choice(['arov', 'enström', 'ilić', 'olde'])}{r.choice(['', '-Lund'])}",
-    "labelled name": lambda r: f"{r.choice(['Name:', 'Contact:', 'Dear', 'Signed,'])} {r.choice('BDFGK')}{r.choice(['ena', 'ovan'])} {r.choice('BDFGK')}{r.choice(['arov', 'enström'])}",
+    "labelled name": lambda r: f"{r.choice(['Name:', 'Contact:', 'Dear', 'From:'])} {r.choice('BDFGK')}{r.choice(['ena', 'ovan'])} {r.choice('BDFGK')}{r.choice(['arov', 'enström'])}",
 }
 
 
