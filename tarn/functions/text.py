@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
@@ -118,11 +119,26 @@ def person_id(source: str, x) -> Column:
     return F.concat(F.lit(f"{source}-"), _col(x).cast("string"))
 
 
+def url(prefix: str, x, suffix: str = "") -> Column:
+    """An address with an id in it; a null id gives null."""
+    return F.concat(F.lit(prefix), _col(x).cast("string"), F.lit(suffix))
+
+
 def round_half_even(x, places: int) -> Column:
     """Rounding of decimals as the decimal text of a double has it, halves to even."""
     return F.bround(_col(x), places)
 
 
+def round_binary(x, places: int = 2) -> Column:
+    """Rounding of the binary value that a double is, halves to even: 2.675 is below its decimal text and gives 2.67. In Arrow batches; for report tables."""
+
+    @F.arrow_udf("double")
+    def rounded(v):
+        return pa.array([None if i is None else round(i, places) for i in v.to_pylist()], pa.float64())
+
+    return rounded(_col(x).cast("double"))
+
+
 def signed(x, places: int = 2) -> Column:
     """A number with sign and decimal comma."""
     return F.replace(F.format_string(f"%+.{places}f", _col(x)), F.lit("."), F.lit(","))
@@ -150,21 +166,25 @@ def paragraphs(x) -> Column:
 
 
 def brief(x) -> Column:
-    """Struct (title, meta, sections: array of (heading, html)) of a Markdown text: an optional code fence, one '# ' title with an optional
-    part in parentheses at its end, and '## ' sections; text before the first section has an empty heading."""
-    src = F.trim(_col(x))
-    src = F.when(src.startswith("```"), F.regexp_replace(F.regexp_replace(src, "^```[a-zA-Z]*\n?", ""), "\n?```\\s*$", "")).otherwise(src)
-    head = F.trim(F.regexp_extract(src, r"^#\s+(.+?)\n", 1))
-    meta = F.trim(F.regexp_extract(head, r"\(([^)]+)\)\s*$", 1))
-    title = F.when(meta != "", F.trim(F.regexp_replace(head, r"\([^)]+\)\s*$", ""))).otherwise(head)
-    body = F.concat(F.lit("\n"), F.when(head != "", F.regexp_replace(src, r"^#\s+.+?\n", "")).otherwise(src))
-    chunks = F.split(body, r"\n##\s+")
-
-    def section(chunk, i):
-        s = F.trim(F.regexp_replace(chunk, r"^\n+|\n+$", ""))
-        line = F.substring_index(s, "\n", 1)
-        rest = F.when(F.instr(s, "\n") > 0, F.trim(F.substring(s, F.length(line) + 2, F.length(s)))).otherwise(F.lit(""))
-        return F.struct(F.when(i == 0, F.lit("")).otherwise(F.trim(line)).alias("heading"), paragraphs(F.when(i == 0, s).otherwise(rest)).alias("html"), s.alias("text"))
-
-    sections = F.filter(F.transform(chunks, section), lambda c: c["text"] != "")
-    return F.struct(title.alias("title"), meta.alias("meta"), F.transform(sections, lambda c: F.struct(c["heading"].alias("heading"), c["html"].alias("html"))).alias("sections"))
+    """Struct (title, meta, sections: array of (heading, html)) of a Markdown text, read line by line: a code fence around all of it goes; a first line with
+    one # is the title, what it has in parentheses at its end the meta; a line with two # opens a section; other lines belong to the open one, which
+    has no heading before the first. Empty sections go."""
+    every = F.split(F.trim(_col(x)), "\n")
+    fenced, last = F.get(every, F.lit(0)).startswith("```"), F.size(every) - 1
+    lines = F.when(fenced, F.filter(every, lambda v, i: (i > 0) & ~((i == last) & (F.rtrim(v) == "```")))).otherwise(every)
+    top = F.get(lines, F.lit(0))
+    head = F.when(top.startswith("# ") & (F.size(lines) > 1), F.trim(F.substring(top, F.lit(2), F.length(top)))).otherwise(F.lit(""))
+    opens = F.length(F.substring_index(head, "(", -1))
+    meta = F.when(head.endswith(")") & (F.instr(head, "(") > 0), F.substring(head, F.length(head) - opens + 1, opens - 1)).otherwise(F.lit(""))
+    title = F.when(meta != "", F.rtrim(F.substring(head, F.lit(1), F.length(head) - opens - 1))).otherwise(head)
+    body = F.filter(lines, lambda _, i: (head == "") | (i > 0))
+    section = lambda heading, text: F.struct(heading.alias("heading"), text.alias("body"))
+
+    def step(done, line):
+        open_ = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(section(open_["heading"], F.concat(open_["body"], F.lit("\n"), line))))
+        return F.when(line.startswith("## "), F.concat(done, F.array(section(F.trim(F.substring(line, F.lit(3), F.length(line))), F.lit(""))))).otherwise(longer)
+
+    made = F.aggregate(body, F.array(section(F.lit(""), F.lit(""))), step)
+    kept = F.filter(made, lambda c: (c["heading"] != "") | (F.btrim(c["body"], F.lit(" \n")) != ""))
+    return F.struct(title.alias("title"), meta.alias("meta"), F.transform(kept, lambda c: F.struct(c["heading"].alias("heading"), paragraphs(F.btrim(c["body"], F.lit("\n"))).alias("html"))).alias("sections"))

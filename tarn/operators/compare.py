@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tarn.operators.features import primary_stint
+from tarn.operators.features import present, primary_stint
+from tarn.sources.shared import materialize
 
 
 def latest(df: DataFrame, season: str = "season") -> DataFrame:
@@ -48,6 +49,7 @@ def scenario_ranks_by_counting(features: DataFrame, scenarios: DataFrame, rate:
     scored = current.join(F.broadcast(scenarios), "source").withColumn("value", F.col(rate) * F.col("multiplier"))
     order = [F.asc("scenario"), F.desc_nulls_last("value"), F.asc(key)]
     placed = scored.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    placed = materialize(placed, "ranks")  # both uses below must see the same bounds
     sizes = placed.groupBy("scenario", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("scenario").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return placed.join(F.broadcast(sizes.withColumn("before", before)), ["scenario", "part"]).select("scenario", key, "value", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("rank"))
@@ -90,6 +92,22 @@ def trajectory(features: DataFrame, metrics: list[str], key: str = "canonical_id
     return both.withColumn("direction", F.when(d > F.col("ci_band"), "improving").when(d < -F.col("ci_band"), "declining").otherwise("stable"))
 
 
+def with_places(paths: DataFrame, coords: DataFrame, persons: DataFrame, columns: list[str], position: str, key: str = "canonical_id", shown=("first_name", "last_name", "source", "appearances", "birth_year")) -> DataFrame:
+    """trajectory's rows with each coordinate of the old and the new season (column_old, column_new; null where there is none), the person's data of
+    the new season, once each, and the position. A person of several sources in a season has its coordinates of the first one by name."""
+
+    def at(age, tag):
+        rows = two_seasons(coords).where(F.col("__age") == age)
+        first = rows.groupBy(key).agg(F.min_by(F.struct(*columns), "source").alias("c")) if "source" in coords.columns else rows.select(key, F.struct(*columns).alias("c")).dropDuplicates([key])
+        return first.select(key, *[F.col(f"c.{c}").alias(f"{c}_{tag}") for c in columns])
+
+    kept = present(persons, shown)
+    names = latest(persons).groupBy(key).agg(F.min_by(F.struct(*kept), "source" if "source" in kept else F.lit(0)).alias("p"))
+    clash = [c for c in kept if c in paths.columns]
+    out = paths.drop(*clash).join(at(2, "old"), key, "left").join(at(1, "new"), key, "left").join(names.select(key, "p.*"), key, "left")
+    return out.withColumn("position", F.lit(position))
+
+
 def top_movers(paths: DataFrame, n: int = 5, by: str = "d_points_per_gp_quality", key: str = "canonical_id") -> DataFrame:
     """The n largest rises among the improving and the n largest falls among the declining."""
     up = top(paths.where("direction = 'improving'"), n, by, key)

@@ -27,6 +27,17 @@ def season_totals(df: DataFrame, keys: list[str], metrics) -> DataFrame:
     return df.na.drop(subset=keys).groupBy(*keys).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in metrics])
 
 
+def first_and_sums(df: DataFrame, keys: list[str], first: list[str], sums: list[str], order: str) -> DataFrame:
+    """A key's first non-null value of some columns, in the given order, and sums of others; a sum of nulls alone is 0."""
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in first]
+    return df.na.drop(subset=keys).groupBy(*keys).agg(*firsts, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+
+
+def of_countries(df: DataFrame, countries: list[str], column: str = "country") -> DataFrame:
+    """Rows of persons of some nationalities; unknown ones go."""
+    return df.where(F.col(column).isin(*countries))
+
+
 def stacked(frames: list[DataFrame]) -> DataFrame:
     """All rows of all frames; missing columns become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

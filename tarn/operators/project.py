@@ -1,13 +1,18 @@
-"""Scaling, principal components, k-means, silhouettes: over complete cases, joined back by key."""
+"""Scaling, principal components, k-means, silhouettes, and both projections with their clusters: over complete cases, joined back by key."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tarn.sources.shared import materialize
+
 SEED = 42
+#: Columns up to which covariances are plain aggregates; rows that the exact silhouette compares with one another.
+FEW, SILHOUETTE_ROWS = 8, 50_000
 
 
 def scaled(df: DataFrame, columns: list[str], suffix: str = "_scaled") -> DataFrame:
@@ -19,11 +24,28 @@ def scaled(df: DataFrame, columns: list[str], suffix: str = "_scaled") -> DataFr
 
 
 def covariances(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, covariance) of all pairs a <= b, by one aggregate (population)."""
+    """(a, b, covariance) of all pairs a <= b (population). Few columns are one aggregate; of many, each partition sums its products, and sums of one
+    number a pair are added up."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.na.drop(subset=columns).agg(*[F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("covariance")) for a, b in pairs])
-    return row.select(F.inline(cells))
+    rows = df.na.drop(subset=columns).select(*[F.col(c).cast("double") for c in columns])
+    if len(columns) <= FEW:
+        row = rows.agg(*[F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs])
+        cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("covariance")) for a, b in pairs])
+        return row.select(F.inline(cells))
+    means = rows.agg(*[F.avg(c) for c in columns]).first()  # one row
+    mean, size = np.array([x or 0.0 for x in means]), len(columns)
+
+    def products(batches):
+        total, n = np.zeros((size, size)), 0
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - mean
+            total, n = total + x.T @ x, n + len(x)
+        i, j = np.triu_indices(size)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j]), pa.array(np.full(len(i), n))], names=["i", "j", "x", "n"])
+
+    sums = rows.mapInArrow(products, "i bigint, j bigint, x double, n bigint").groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    names = F.array(*map(F.lit, columns))
+    return sums.select(F.get(names, F.col("i").cast("int")).alias("a"), F.get(names, F.col("j").cast("int")).alias("b"), F.try_divide("x", "n").alias("covariance"))
 
 
 def principal_components(df: DataFrame, columns: list[str], n: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +59,8 @@ def principal_components(df: DataFrame, columns: list[str], n: int = 2) -> tuple
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[:n]
     pc = vectors[:, order]
-    pc = pc * np.where(pc[np.abs(pc).argmax(axis=0), np.arange(len(order))] < 0, -1.0, 1.0)
+    largest = np.abs(pc).round(9).argmax(axis=0)  # the first of equal ones
+    pc = pc * np.where(pc[largest, np.arange(len(order))] < 0, -1.0, 1.0)
     return pc, values[order] / max(values.sum(), 1e-300)
 
 
@@ -65,16 +88,18 @@ def loadings_by_component(loadings: DataFrame) -> DataFrame:
 def kmeans(df: DataFrame, columns: list[str], k: int, starts: int = 10, seed: int = SEED) -> DataFrame:
     """Complete cases with `cluster`: the best of several seeded starts by cost. Ids follow the centres along the first column, highest first, so they mean the
     same from fit to fit."""
-    data = VectorAssembler(inputCols=[f"{c}_scaled" for c in columns], outputCol="__v").transform(scaled(df, columns)).cache()
+    data = materialize(VectorAssembler(inputCols=[f"{c}_scaled" for c in columns], outputCol="__v").transform(scaled(df, columns)), "kmeans")
     best = min((KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="__c").fit(data) for i in range(starts)), key=lambda m: m.summary.trainingCost)
     order = sorted(range(len(best.clusterCenters())), key=lambda i: -best.clusterCenters()[i][0])
     ids = F.element_at(F.array(*[F.lit(order.index(i)) for i in range(len(order))]), F.col("__c") + 1)
     return best.transform(data).withColumn("cluster", ids).drop("__c", "__v")
 
 
-def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster", key: str = "id") -> DataFrame:
-    """One row: the exact mean Euclidean silhouette. Every row is compared with all rows (a stated measure, for tables of up to some thousand
-    rows); points meet in blocks by the other side's cluster and salt, never in one task. A cluster of one row counts 0."""
+def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster", key: str = "id", most: int = SILHOUETTE_ROWS) -> DataFrame:
+    """One row: the exact mean Euclidean silhouette. The measure compares every row with all rows, so a table of more than `most` rows is refused
+    (50,000 rows are 2.5 billion distances); points meet in blocks by salt, never in one task. A cluster of one row counts 0."""
+    if (n := df.count()) > most:
+        raise ValueError(f"an exact silhouette of {n} rows; at most {most} are compared with one another")
     vec = F.array(*columns)
     left = df.select(F.col(key).alias("a"), F.col(cluster).alias("ca"), vec.alias("va"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
     right = df.select(F.col(key).alias("b"), F.col(cluster).alias("cb"), vec.alias("vb"), F.pmod(F.xxhash64(key), F.lit(8)).cast("int").alias("salt"))
@@ -96,9 +121,45 @@ def select_k(df: DataFrame, columns: list[str], ks: range, key: str = "id", star
     return max(fits, key=lambda k: (got[k], -k)), got
 
 
+def both_projections(features: DataFrame, columns: dict[str, list[str]], key: list[str], position: str, meta: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(coordinates, loadings) of several projections (name: its feature columns) of one position's rows: key, meta, pca_x_{name}, pca_y_{name} and null
+    umap columns side by side, joined by key; loadings with position and projection."""
+    out, loadings = features.select(*key, *[m for m in meta if m not in key]), None
+    for name, of in columns.items():
+        coords, loads = pca_coordinates(features, of, key)
+        out = out.join(coords.withColumnsRenamed({f"{kind}_{a}": f"{kind}_{a}_{name}" for kind in ("pca", "umap") for a in "xy"}), key, "left")
+        loads = loads.select(F.lit(position).alias("position"), F.lit(name).alias("projection"), "*")
+        loadings = loads if loadings is None else loadings.unionByName(loads)
+    return out, loadings
+
+
+def clustered(features: DataFrame, coords: DataFrame, columns: dict[str, list[str]], ks: range, key: list[str], position: str, starts: int = 10, name: str = "name", birth_year: str = "birth_year") -> tuple[DataFrame, DataFrame]:
+    """(coordinates with cluster_id_{projection}, summary). For each projection k is chosen by silhouette; incomplete rows have no cluster, and a projection of
+    fewer than four complete rows none at all. Summary: position, projection, cluster_id, k, silhouette, n_members, median_birth_year, examples."""
+    out, summary = coords, None
+    for projection, of in columns.items():
+        rows = materialize(features.na.drop(subset=of).withColumn("__id", F.concat_ws("\x1f", *key)), "clustered")
+        column = f"cluster_id_{projection}"
+        if rows.limit(4).count() < 4:
+            out = out.withColumn(column, F.lit(None).cast("int"))
+            continue
+        k, by = select_k(rows, of, ks, "__id", starts)
+        got = materialize(kmeans(rows, of, k, starts).select(*rows.columns, "cluster"), "clustered")
+        out = out.join(got.select(*key, F.col("cluster").alias(column)), key, "left")
+        part = cluster_summary(got, name=name, birth_year=birth_year, order="__id").select(
+            F.lit(position).alias("position"), F.lit(projection).alias("projection"), F.col("cluster").alias("cluster_id"), F.lit(k).alias("k"), F.lit(float(by.get(k, 0.0))).alias("silhouette"), "n_members", "median_birth_year", "examples"
+        )
+        summary = part if summary is None else summary.unionByName(part)
+    return out, summary
+
+
 def cluster_summary(df: DataFrame, cluster: str = "cluster", birth_year: str = "birth_year", name: str = "name", order: str = "id", n: int = 5) -> DataFrame:
-    """By cluster: members, median birth year, and the first n names in the given order."""
-    first = F.row_number().over(W.partitionBy(cluster).orderBy(order))
-    ranked = df.where(F.col(cluster).isNotNull()).withColumn("__rank", first)
-    names = F.concat_ws(", ", F.transform(F.sort_array(F.collect_list(F.when(F.col("__rank") <= n, F.struct("__rank", name)))), lambda x: x[name]))
-    return ranked.groupBy(cluster).agg(F.count("*").alias("n_members"), F.median(birth_year).alias("median_birth_year"), names.alias("examples"))
+    """By cluster: members, median birth year, and the first n names in the given order. The names come from a part's own first n, so no task
+    orders a whole cluster."""
+    rows = df.where(F.col(cluster).isNotNull())
+    spread = rows.withColumn("__part", F.pmod(F.xxhash64(order), F.lit(64)))
+    rank = F.row_number().over(W.partitionBy(cluster, "__part").orderBy(order))
+    few = spread.select(cluster, "__part", order, F.col(name).alias("__name")).withColumn("__rank", rank).where(F.col("__rank") <= n)
+    names = few.groupBy(cluster).agg(F.slice(F.array_sort(F.collect_list(F.struct(order, "__name"))), 1, n).alias("x"))
+    made = rows.groupBy(cluster).agg(F.count("*").alias("n_members"), F.median(birth_year).alias("median_birth_year"))
+    return made.join(names, cluster).select(cluster, "n_members", "median_birth_year", F.concat_ws(", ", F.transform("x", lambda v: v["__name"])).alias("examples"))

@@ -70,11 +70,30 @@ def with_generated(df: DataFrame, context_col: str, generate=None) -> DataFrame:
     return df.withColumn("generated", F.lit(None).cast("string") if generate is None else generate(F.col(context_col)))
 
 
-def html_table(df: DataFrame, title: str, most: int = 500) -> str:
-    """A small table as an HTML page (at most `most` rows, a report's limit)."""
+def spotlight(table: DataFrame, key: str, value: str, measure: str) -> DataFrame:
+    """One row: `measure` of the row whose key is value (null where there is none), and the highest of all rows."""
+    return table.agg(F.max(F.when(F.col(key) == value, F.col(measure))).alias("own"), F.max(measure).alias("highest"))
+
+
+def _table(df: DataFrame, most: int) -> str:
     from html import escape
 
-    rows = df.limit(most).collect()
+    rows = df.limit(most + 1).collect()
     head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
-    body = "\n".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<!DOCTYPE html>\n<html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>\n<table><tr>{head}</tr>\n{body}</table></body></html>\n"
+    body = "\n".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows[:most])
+    more = f"<p>The first {most} rows.</p>\n" if len(rows) > most else ""
+    return f"<table><tr>{head}</tr>\n{body}</table>\n{more}"
+
+
+def page(title: str, sections: list[tuple[str, DataFrame | str]], most: int = 500) -> str:
+    """An HTML page of sections: texts (as HTML) and small tables, of each the first `most` rows, a report's limit that the page states where it cuts."""
+    from html import escape
+
+    parts = "".join(f"<section><h2>{escape(name)}</h2>\n{what if isinstance(what, str) else _table(what, most)}</section>\n" for name, what in sections)
+    links = "".join(f"<li>{escape(name)}</li>" for name, _ in sections)
+    return f"<!DOCTYPE html>\n<html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>\n<ol>{links}</ol>\n{parts}</body></html>\n"
+
+
+def html_table(df: DataFrame, title: str, most: int = 500) -> str:
+    """A page of one small table."""
+    return page(title, [(title, df)], most)

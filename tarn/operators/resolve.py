@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tarn.sources.shared import materialize
+from tarn.sources.shared import materialize, release
 
 #: Least similarity of two names that are one, and most years between two birth years that may be one.
 THRESHOLD, YEARS = 92.0, 1
@@ -83,7 +83,10 @@ def candidates(left: DataFrame, right: DataFrame, name: str = "name", year: str
     Pairs come from shared keys, not from a cross join: a common word, or three letters in a row of the sorted words without spaces. That keeps
     every pair. With a common word it is a key. Without one the sorted texts themselves reach the threshold, so with the longer one of L characters
     they differ by d <= 0.16 L insertions and deletions; each word differs, so there are at most d words, and 0.84 L letters at least; of their
-    0.84 L - 2 letter triples 3 d <= 0.48 L are touched, and 0.36 L - 2 > 0 stay, as texts that differ by one need L >= 6."""
+    0.84 L - 2 letter triples 3 d <= 0.48 L are touched, and 0.36 L - 2 > 0 stay, as texts that differ by one need L >= 6.
+
+    Each key is dealt by year, so that a frequent name only meets the years that agree: a known year on the left meets the same year, its neighbours
+    and unknown ones on the right; an unknown one meets all. Pairs without a common word whose lengths rule the threshold out aren't scored."""
     assert threshold >= 92, "the keys are proven for this threshold"
 
     def keys(df, side):
@@ -91,34 +94,55 @@ def candidates(left: DataFrame, right: DataFrame, name: str = "name", year: str
         bare = F.array_join(words, "")
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 2, F.lit(1))), lambda i: F.concat(F.lit("#"), F.substring(bare, i, F.lit(3))))
         every = F.array_distinct(F.concat(words, grams))
-        return df.where(F.col(name) != "").select(F.explode(every).alias("__key"), *[F.col(x).alias(f"{side}_{y}") for x, y in (("id", "id"), ("order", "order"), (name, "name"), (year, "year"))])
-
-    pairs = keys(left, "left").join(keys(right, "right"), "__key").where(years_agree(F.col("left_year"), F.col("right_year"), within)).drop("__key").distinct()
+        y, unknown = F.col(year), F.lit("unknown")
+        if side == "left":
+            bands = F.when(y.isNull(), F.array(F.lit("any"))).otherwise(F.array(y.cast("string"), unknown))
+        else:
+            near = F.transform(F.sequence(y.cast("bigint") - within, y.cast("bigint") + within), lambda x: x.cast("string"))
+            bands = F.when(y.isNull(), F.array(unknown, F.lit("any"))).otherwise(F.concat(near, F.array(F.lit("any"))))
+        out = df.where(F.col(name) != "").withColumn("__every", every).withColumn("__band", F.explode(bands))
+        return out.select(F.explode("__every").alias("__key"), "__band", words.alias(f"{side}_words"), *[F.col(x).alias(f"{side}_{y}") for x, y in (("id", "id"), ("order", "order"), (name, "name"), (year, "year"))])
+
+    pairs = keys(left, "left").join(keys(right, "right"), ["__key", "__band"]).where(years_agree(F.col("left_year"), F.col("right_year"), within)).drop("__key", "__band").distinct()
+    size = lambda side: F.length(F.array_join(f"{side}_words", " "))
+    best = 200 * F.least(size("left"), size("right")) / (size("left") + size("right"))
+    pairs = pairs.where(F.arrays_overlap("left_words", "right_words") | (best >= threshold)).drop("left_words", "right_words")
     scored = pairs.withColumn("score", similarity(F.col("left_name"), F.col("right_name"))).where(F.col("score") >= threshold)
     return scored.select("left_id", "left_order", "right_id", "right_order", "score")
 
 
 def best_matches(pairs: DataFrame) -> DataFrame:
     """Each left row's best right row: highest score, then earliest."""
-    rank = F.row_number().over(W.partitionBy("left_id").orderBy(F.desc("score"), F.asc("right_order")))
+    rank = F.row_number().over(W.partitionBy("left_id").orderBy(F.desc("score"), F.asc("right_order"), F.asc("right_id")))
     return pairs.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def assign_one_to_one(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+def _without_hopeless(pairs: DataFrame) -> DataFrame:
+    """Left rows of equal options (the same right rows at the same scores) take them in their order, so the j-th of them never gets one of its first
+    j - 1: those pairs go. A thousand namesakes are settled by this instead of by a thousand rounds."""
+    option = F.struct("right_id", "score")
+    signs = pairs.groupBy("left_id").agg(F.bit_xor(F.xxhash64(option)).alias("a"), F.sum(F.xxhash64(option, F.lit(1)).cast("decimal(38,0)")).alias("b"), F.count("*").alias("n"), F.first("left_order").alias("o"))
+    turns = signs.select("left_id", F.row_number().over(W.partitionBy("a", "b", "n").orderBy("o", "left_id")).alias("__turn"))
+    place = F.row_number().over(W.partitionBy("left_id").orderBy(F.desc("score"), F.asc("right_order"), F.asc("right_id")))
+    return pairs.withColumn("__place", place).join(turns, "left_id").where("__place >= __turn").drop("__place", "__turn")
+
+
+def assign_one_to_one(pairs: DataFrame) -> DataFrame:
     """Left rows in their order each take their best right row that is still free: (left_id, right_id, score).
 
     Deferred acceptance: every left row without a place asks its best right row that hasn't refused it; a right row keeps the earliest that
-    asks, and refuses the others. It ends at the same assignment as going through the left rows one after another."""
-    left = materialize(pairs, "assignment")
-    for _ in range(rounds):
+    asks, and refuses the others. It ends at the same assignment as going through the left rows one after another, as each round refuses a pair
+    for good."""
+    left = materialize(_without_hopeless(pairs), "assignment")
+    while True:
         asks = best_matches(left)
-        keeps = F.row_number().over(W.partitionBy("right_id").orderBy("left_order"))
-        refused = asks.withColumn("__rank", keeps).where("__rank > 1").select("left_id", "right_id")
-        rest = materialize(left.join(refused, ["left_id", "right_id"], "left_anti"), "assignment")
-        if rest.count() == left.count():
-            return best_matches(rest).select("left_id", "right_id", "score")
-        left = rest
-    raise RuntimeError("the assignment did not settle")
+        keeps = F.row_number().over(W.partitionBy("right_id").orderBy("left_order", "left_id"))
+        refused = materialize(asks.withColumn("__rank", keeps).where("__rank > 1").select("left_id", "right_id"), "refused")
+        if refused.isEmpty():
+            return best_matches(left).select("left_id", "right_id", "score")
+        left, before = materialize(left.join(refused, ["left_id", "right_id"], "left_anti"), "assignment"), left
+        release(before)
+        release(refused)
 
 
 def resolve_persons(anchors: DataFrame, second: DataFrame, third: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -134,7 +158,7 @@ def resolve_persons(anchors: DataFrame, second: DataFrame, third: DataFrame, thr
     among = a.unionByName(b.withColumn("order", F.col("order") + shift))
     options = candidates(b, among, threshold=threshold).where((F.col("right_id") != F.col("left_id")) & ((F.col("right_order") < shift) | (F.col("right_order") - shift < F.col("left_order"))))
     # a second-source row can only join an earlier one that itself became a person; settled from the earliest on
-    taken = _settle(options, b.count())
+    taken = _settle(options)
     own = b.join(taken, b["id"] == taken["left_id"], "left_anti")
     last = F.row_number().over(W.partitionBy("right_id").orderBy(F.desc("left_order")))
     joined = taken.withColumn("__rank", last).where("__rank = 1").select(F.col("right_id").alias("id"), F.regexp_replace("left_id", "^b-", "").alias("second_id"))
@@ -148,19 +172,19 @@ def resolve_persons(anchors: DataFrame, second: DataFrame, third: DataFrame, thr
     return every.select(F.col("id").alias("person_id"), "name", "birth_year", "first_id", "second_id", "third_id", sources.alias("sources"), F.size(sources).alias("n_sources"), F.coalesce("eligible", F.lit("unknown")).alias("eligible"))
 
 
-def _settle(options: DataFrame, most: int) -> DataFrame:
-    """Each left row's best option, where an option that is itself a left row only counts if that row found none. Rows are settled in rounds: a row
-    is settled once all its options that are left rows are."""
+def _settle(options: DataFrame) -> DataFrame:
+    """Each left row's best option, where an option that is itself a left row only counts if that row found none. A row only has earlier ones among
+    its options, so each round settles the next rows of every chain, and the rounds end with the longest chain."""
     options = materialize(options, "matches")
-    inner = options.join(options.select(F.col("left_id").alias("right_id")).distinct(), "right_id", "left_semi").select("left_id", "right_id")
+    inner = options.join(options.select(F.col("left_id").alias("right_id")).distinct(), "right_id", "left_semi")
+    joined = materialize(best_matches(options), "matches")
     if inner.isEmpty():
-        return best_matches(options)
-    joined = None
-    for _ in range(most + 1):
-        gone = joined.select(F.col("left_id").alias("right_id")) if joined is not None else None
-        usable = options if gone is None else options.join(gone, "right_id", "left_anti")
-        new = materialize(best_matches(usable), "matches")
-        if joined is not None and new.select("left_id", "right_id").exceptAll(joined.select("left_id", "right_id")).isEmpty() and new.count() == joined.count():
+        return joined
+    while True:
+        new = materialize(best_matches(options.join(joined.select(F.col("left_id").alias("right_id")), "right_id", "left_anti")), "matches")
+        ids = lambda df: df.select("left_id", "right_id")
+        same = ids(new).exceptAll(ids(joined)).isEmpty() and new.count() == joined.count()
+        release(joined)
+        if same:
             return new
         joined = new
-    raise RuntimeError("the matches did not settle")

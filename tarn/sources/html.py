@@ -11,6 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tarn.functions.text import clean, clean_name, date_in_parentheses, normalize_name
 
 
+#: Fixed values of the pages: headers of standings and of statistics, the totals row, links of clubs and persons, headings and headers of squads.
+STANDINGS, STATISTICS, TOTAL = ("Tým", "Z", "V", "P", "Skóre", "B"), ("GP", "G", "A", "P", "PIM"), "Yht."
+PERSON_HEADER, TEAM_HEADER, POSITION_HEADER = "JMÉNO", "TÝM", "POZ."
+CLUB_LINK, PERSON_LINK = r"^/klub/([a-z0-9-]+)/(\d+)", r"^/hrac/([a-z0-9-]+)/(\d+)"
+COUNTRY_HEADINGS = ("Czechia", "Czech Republic", "Česko", "Česká republika")
+NAMES, BIRTHDATES, CLUBS, SQUAD_POSITION = ("Name", "Player"), ("Birthdate", "Date of birth"), ("Team", "Club"), "Pos."
+
+
 def text_of(x: Column) -> Column:
     """Text of an HTML fragment: tags out, the commonest entities read, white space single."""
     out = F.regexp_replace(x, "<[^>]*>", " ")
@@ -41,7 +49,7 @@ def listing(pages: DataFrame, prefix: str, fields: dict[str, str], id_pattern: s
     return out.withColumn("name", F.trim(F.regexp_replace("name", r"\s*#\s*$", ""))) if "name" in out.columns else out
 
 
-def without_totals(df: DataFrame, season: str = "season", total: str = "Yht.") -> DataFrame:
+def without_totals(df: DataFrame, season: str = "season", total: str = TOTAL) -> DataFrame:
     return df.where(F.col(season).isNotNull() & (F.col(season) != total))
 
 
@@ -58,9 +66,9 @@ def links(pages: DataFrame, pattern: str, names: list[str], html: str = "html")
     return out.withColumns({n: F.regexp_extract("href", pattern, i + 1) for i, n in enumerate(names)})
 
 
-def teams(pages: DataFrame, html: str = "html", signature=("Tým", "Z", "V", "P", "Skóre", "B")) -> DataFrame:
+def teams(pages: DataFrame, html: str = "html", signature=STANDINGS) -> DataFrame:
     """team_id, slug, name of the teams in a standings table: the first id and the longest text of a slug's links, in the order of the table."""
-    found = links(pages, r"^/klub/([a-z0-9-]+)/(\d+)", ["slug", "team_id"], html)
+    found = links(pages, CLUB_LINK, ["slug", "team_id"], html)
     known = found.groupBy("slug").agg(F.min_by("team_id", "position").cast("int").alias("team_id"), F.max_by("text", F.struct(F.length("text"), -F.col("position"))).alias("name"))
     rows = tables(pages, html, list(signature), "sort_value").select(F.get("values", F.lit(1)).alias("slug"), "row").where("slug is not null and slug <> ''")
     order = rows.groupBy("slug").agg(F.min("row").alias("place"))
@@ -143,18 +151,17 @@ def cell(*names: str) -> Column:
     return F.get("values", (F.coalesce(*at) - 1).cast("int"))
 
 
-def team_stats(pages: DataFrame, html: str = "html", columns=("GP", "G", "A", "P", "PIM"), name: str = "JMÉNO", team: str = "TÝM", position: str = "POZ.") -> DataFrame:
+def team_stats(pages: DataFrame, html: str = "html", columns=STATISTICS, name: str = PERSON_HEADER, team: str = TEAM_HEADER, position: str = POSITION_HEADER) -> DataFrame:
     """Person rows of a team's statistics page, with id and slug from the name's link."""
     out = tables(pages, html, [name, team, position, "GP", "G", "A", "P"])
     link = F.get("hrefs", (F.array_position("headers", name) - 1).cast("int"))
-    pattern = r"^/hrac/([a-z0-9-]+)/(\d+)"
     keys = [c for c in pages.columns if c != html]
-    return out.select(*keys, cell(name).alias("name"), cell(team).alias("team"), cell(position).alias("position"), *[cell(c).try_cast("double").alias(c.lower()) for c in columns], F.nullif(F.regexp_extract(link, pattern, 1), F.lit("")).alias("slug"), F.regexp_extract(link, pattern, 2).try_cast("bigint").alias("source_id"))
+    return out.select(*keys, cell(name).alias("name"), cell(team).alias("team"), cell(position).alias("position"), *[cell(c).try_cast("double").alias(c.lower()) for c in columns], F.nullif(F.regexp_extract(link, PERSON_LINK, 1), F.lit("")).alias("slug"), F.regexp_extract(link, PERSON_LINK, 2).try_cast("bigint").alias("source_id"))
 
 
-def squad(pages: DataFrame, html: str = "html", headings=("Czechia", "Czech Republic", "Česko", "Česká republika")) -> DataFrame:
+def squad(pages: DataFrame, html: str = "html", headings=COUNTRY_HEADINGS) -> DataFrame:
     """Roster rows under one of the country headings: name without captain's mark, name_normalized, position, birth_date, birth_year, club."""
-    rows = tables(pages, html, [], heading=list(headings)).withColumn("name", clean_name(cell("Name", "Player"))).where("name <> ''")
-    born = date_in_parentheses(F.coalesce(cell("Birthdate", "Date of birth"), F.lit("")))
+    rows = tables(pages, html, [], heading=list(headings)).withColumn("name", clean_name(cell(*NAMES))).where("name <> ''")
+    born = date_in_parentheses(F.coalesce(cell(*BIRTHDATES), F.lit("")))
     keys = [c for c in pages.columns if c != html]
-    return rows.select(*keys, "name", normalize_name("name", strip_marker=False).alias("name_normalized"), cell("Pos.").alias("position"), born["iso"].alias("birth_date"), born["year"].alias("birth_year"), cell("Team", "Club").alias("club"))
+    return rows.select(*keys, "name", normalize_name("name", strip_marker=False).alias("name_normalized"), cell(SQUAD_POSITION).alias("position"), born["iso"].alias("birth_date"), born["year"].alias("birth_year"), cell(*CLUBS).alias("club"))

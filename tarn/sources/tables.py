@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tarn.functions.text import birth_date, full_name, localized, normalize_name
+from tarn.operators.features import first_and_sums, with_position
 
 SKATERS = "source_id string, team string, season int, source string, gp double, goals double, assists double, points double, shots double, pim double"
 PERSONS = "canonical_id string, name string, birth_year int, position string, eligible string, first_id string, second_id string, third_id string, appearances int"
@@ -107,6 +108,29 @@ def person_meta(df: DataFrame, language: str = "cs") -> DataFrame:
     return df.select(F.col("playerId").alias("id"), name.alias("name"), normalize_name(name).alias("name_normalized"), born["iso"].alias("birth_date"), born["year"].alias("birth_year"), localized("birthCity", language).alias("birth_city"), F.col("birthCountry").alias("country"), "position")
 
 
+def listed_meta(df: DataFrame, positions: DataFrame, source: str = "liiga") -> DataFrame:
+    """Persons of a scraped listing (source_id, name, team, role_code, date_of_birth) in person_meta's columns, with the team."""
+    born = birth_date("date_of_birth")
+    rows = with_position(df.withColumn("source", F.lit(source)), positions, "role_code")
+    return rows.select(F.col("source_id").alias("id"), "name", normalize_name("name").alias("name_normalized"), born["iso"].alias("birth_date"), born["year"].alias("birth_year"), "position", "team")
+
+
+def roster_meta(stats: DataFrame, positions: DataFrame, births: DataFrame | None = None, source: str = "extraliga") -> DataFrame:
+    """Persons of a season's statistics (source_id, name, position, slug, team_id, gp, row): the first of each text in the source's order and all games, with
+    the raw birth dates (source_id, birth_date) where there are any."""
+    once = first_and_sums(stats.withColumnRenamed("position", "code"), ["source_id"], ["name", "code", "slug", "team_id"], ["gp"], "row")
+    rows = with_position(once.withColumn("source", F.lit(source)), positions)
+    born = birth_date("birth_date")
+    dates = None if births is None else births.select("source_id", born["iso"].alias("birth_date"), born["year"].alias("birth_year"))
+    rows = rows.withColumns({"birth_date": F.lit(None).cast("string"), "birth_year": F.lit(None).cast("int")}) if dates is None else rows.join(dates, "source_id", "left")
+    return rows.select(F.col("source_id").alias("id"), "name", normalize_name("name").alias("name_normalized"), "birth_date", "birth_year", "position", "slug", "team_id", "gp")
+
+
+def participation(squad: DataFrame, tournament: str, year: int) -> DataFrame:
+    """A tournament's roster rows in PARTICIPATION's columns."""
+    return squad.select(F.lit(tournament).alias("tournament"), F.lit(year).alias("year"), "name", "name_normalized", "position", "birth_date", "birth_year", "club")
+
+
 def images_as_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, base64) of binary files."""
     return spark.read.format("binaryFile").load(path).select("path", F.base64("content").alias("base64"))
