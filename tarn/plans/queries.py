@@ -12,6 +12,7 @@ from tarn.functions import text
 from tarn.operators import cohort, compare, features, project, report, resolve
 from tarn.plans import dims
 from tarn.sources import html, tables
+from tarn.sources.shared import materialize
 
 METRICS = ("goals", "assists", "points", "pim")
 #: A multiplier for each market segment but one, which stays unknown; inhabitants by region; the share of the scenarios; least games of a prior.
@@ -95,17 +96,18 @@ def source_union(spark, sf_dir):
     return features.stacked([a, b]).select("canonical_id", "source", "shots")
 
 
-PERSON_IDS = "ids AS (SELECT 'customer' AS source, CAST(c_custkey AS VARCHAR) AS source_id, c_name AS canonical_id FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier)"
-PERSON_ROWS = "rows AS (SELECT 'customer' AS source, CAST(o_custkey AS VARCHAR) AS source_id, count(*) AS gp FROM orders GROUP BY 2 UNION ALL SELECT 'supplier', CAST(l_suppkey AS VARCHAR), count(*) FROM lineitem GROUP BY 2)"
+PERSON_IDS = "ids AS (SELECT 'customer' AS source, CAST(c_custkey AS VARCHAR) AS source_id, c_name AS canonical_id FROM customer UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier)"
+PERSON_ROWS = """rows AS (SELECT 'customer' AS source, CAST(o_custkey AS VARCHAR) AS source_id, count(*) AS gp FROM orders GROUP BY 2 UNION ALL SELECT 'supplier', CAST(l_suppkey AS VARCHAR), count(*) FROM lineitem GROUP BY 2
+ UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), count(*) FROM events GROUP BY 2)"""
 
 
 def _identities(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_name").alias("canonical_id"), F.col("c_custkey").alias("customer_id"), F.lit(None).cast("bigint").alias("supplier_id"))
+    """Persons are customers and suppliers; users of events have no identity."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("canonical_id"), F.col("c_custkey").alias("customer_id"), F.lit(None).cast("bigint").alias("supplier_id"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("canonical_id"), F.lit(None).cast("bigint").alias("customer_id"), F.col("s_suppkey").alias("supplier_id"))
     ids = features.id_map(c.unionByName(s), {"customer": "customer_id", "supplier": "supplier_id"})
-    a = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("source_id")).agg(F.count("*").alias("gp")).withColumn("source", F.lit("customer"))
-    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("source_id")).agg(F.count("*").alias("gp")).withColumn("source", F.lit("supplier"))
-    return ids, features.stacked([a, b])
+    of = lambda name, key, source: table(spark, sf_dir, name).groupBy(F.col(key).cast("string").alias("source_id")).agg(F.count("*").alias("gp")).withColumn("source", F.lit(source))
+    return ids, features.stacked([of("orders", "o_custkey", "customer"), of("lineitem", "l_suppkey", "supplier"), of("events", "user_id", "user")])
 
 
 @query(f"WITH {PERSON_IDS}, {PERSON_ROWS} SELECT source, source_id, gp, canonical_id FROM rows JOIN ids USING (source, source_id)")
@@ -336,26 +338,33 @@ def tolerance_match(spark, sf_dir):
     return resolve.tolerance_matches(left, right, "c_custkey").select("c_custkey", "n_matches", F.array_join("matches", ",").alias("matches"))
 
 
-def _points(spark, sf_dir, n: int = 3):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(n)])
+#: Components of the embeddings.
+DIMENSIONS = 64
+AXES = [f"x{i}" for i in range(DIMENSIONS)]
 
 
-POINTS = "WITH p AS (SELECT vec_id AS id, label AS cluster, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(3)) + " FROM embeddings)"
-FAR = "sqrt(" + " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(3)) + ")"
+def _points(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(AXES)])
+    return materialize(rows, "points")  # as columns: the optimiser's constraints over so many aliases of one array grow without end
+
+
+POINTS = "WITH p AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+FAR = "list_distance(a.v, b.v)"
 
 
 @query(POINTS + f" SELECT target, id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT b.id AS target, a.id, round({FAR}, 6) AS distance, row_number() OVER (PARTITION BY b.id ORDER BY {FAR}, a.id) AS rank FROM p a JOIN p b ON a.cluster = b.cluster AND a.id <> b.id WHERE b.id % 20 = 0) WHERE rank <= 3")
 def knn_cluster(spark, sf_dir):
     points = _points(spark, sf_dir)
-    return rounded(compare.neighbours(points.where("id % 20 = 0"), points, ["cluster"], ["x0", "x1", "x2"], 3, scale=False), ["distance"])
+    return rounded(compare.neighbours(points.where("id % 20 = 0"), points, ["cluster"], AXES, 3, scale=False), ["distance"])
 
 
-@query(POINTS + """, pairs AS (SELECT b.id AS target, a.id, """ + ", ".join(f"a.x{i} - b.x{i} AS d{i}, stddev_samp(a.x{i}) OVER (PARTITION BY b.id) AS s{i}" for i in range(3)) + """ FROM p a JOIN p b ON a.cluster = b.cluster AND a.id <> b.id WHERE b.id % 20 = 0),
- far AS (SELECT target, id, sqrt(""" + " + ".join(f"coalesce(pow(d{i} / (CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END), 2), 0)" for i in range(3)) + """) AS distance FROM pairs)
+@query(POINTS + """, pairs AS (SELECT b.id AS target, a.id, a.v AS va, b.v AS vb FROM p a JOIN p b ON a.cluster = b.cluster AND a.id <> b.id WHERE b.id % 20 = 0),
+ each AS (SELECT target, id, unnest(va) - unnest(vb) AS d, unnest(range(64)) AS i FROM pairs), s AS (SELECT target, i, stddev_samp(d) AS s FROM each GROUP BY 1, 2),
+ far AS (SELECT target, id, sqrt(sum(coalesce(pow(d / (CASE WHEN s = 0 THEN 1 ELSE s END), 2), 0))) AS distance FROM each JOIN s USING (target, i) GROUP BY 1, 2)
  SELECT target, id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, id) AS rank FROM far) WHERE rank <= 3""")
 def knn_analogs(spark, sf_dir):
     points = _points(spark, sf_dir)
-    return rounded(compare.neighbours(points.where("id % 20 = 0"), points, ["cluster"], ["x0", "x1", "x2"], 3), ["distance"])
+    return rounded(compare.neighbours(points.where("id % 20 = 0"), points, ["cluster"], AXES, 3), ["distance"])
 
 
 @query("""WITH c AS (SELECT o_custkey AS id, CAST(year(o_orderdate) AS INTEGER) AS age, o_orderpriority AS source, count(*) AS gp FROM orders GROUP BY 1, 2, 3),
@@ -371,18 +380,21 @@ def future_path(spark, sf_dir):
  e AS (SELECT id, sum(CASE WHEN ca = cb AND n > 1 THEN d / (n - 1) END) AS m, min(CASE WHEN ca <> cb THEN d / n END) AS o FROM d GROUP BY id)
  SELECT round(avg(coalesce((o - m) / nullif(greatest(m, o), 0), 0)), 6) AS silhouette FROM e""")
 def exact_silhouette(spark, sf_dir):
-    return rounded(project.silhouette(_points(spark, sf_dir), ["x0", "x1", "x2"]), ["silhouette"])
+    return rounded(project.silhouette(_points(spark, sf_dir), AXES), ["silhouette"])
 
 
-@query(POINTS + " SELECT id, " + ", ".join(f"round((x{i} - avg(x{i}) OVER ()) / (CASE WHEN stddev_pop(x{i}) OVER () = 0 THEN 1 ELSE stddev_pop(x{i}) OVER () END), 6) AS x{i}_scaled" for i in range(3)) + " FROM p")
+@query(POINTS + """, e AS (SELECT id, unnest(v) AS x, unnest(range(64)) AS i FROM p), m AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY i),
+ z AS (SELECT id, i, round((x - m) / (CASE WHEN s = 0 THEN 1 ELSE s END), 6) AS z FROM e JOIN m USING (i))
+ SELECT id, """ + ", ".join(f"max(CASE WHEN i = {i} THEN z END) AS {x}_scaled" for i, x in enumerate(AXES)) + " FROM z GROUP BY id")
 def scaled_matrix(spark, sf_dir):
-    made = [f"x{i}_scaled" for i in range(3)]
-    return rounded(project.scaled(_points(spark, sf_dir), ["x0", "x1", "x2"]).select("id", *made), made)
+    made = [f"{x}_scaled" for x in AXES]
+    return rounded(project.scaled(_points(spark, sf_dir), AXES).select("id", *made), made)
 
 
-@query(POINTS + " " + " UNION ALL ".join(f"SELECT 'x{i}' AS a, 'x{j}' AS b, round(covar_pop(x{i}, x{j}), 6) AS covariance FROM p" for i in range(3) for j in range(i, 3)))
+@query(POINTS + """, n AS (SELECT unnest(range(64)) AS i), pairs AS (SELECT n.i, m.i AS j FROM n JOIN n m ON n.i <= m.i)
+ SELECT 'x' || i AS a, 'x' || j AS b, round(covar_pop(v[CAST(i AS INTEGER) + 1], v[CAST(j AS INTEGER) + 1]), 6) + 0.0 AS covariance FROM p, pairs GROUP BY i, j""")
 def covariance(spark, sf_dir):
-    return rounded(project.covariances(_points(spark, sf_dir), ["x0", "x1", "x2"]), ["covariance"])
+    return rounded(project.covariances(_points(spark, sf_dir), AXES), ["covariance"]).withColumn("covariance", F.col("covariance") + F.lit(0.0))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer)
@@ -419,23 +431,77 @@ def narrative(spark, sf_dir):
 
 @query()
 def pca_coordinates(spark, sf_dir):
-    return project.pca_coordinates(_points(spark, sf_dir), ["x0", "x1", "x2"], ["id"])[0]
+    return project.pca_coordinates(_points(spark, sf_dir), AXES, ["id"])[0]
 
 
 @query()
 def pca_loadings(spark, sf_dir):
-    return project.pca_coordinates(_points(spark, sf_dir), ["x0", "x1", "x2"], ["id"])[1]
+    return project.pca_coordinates(_points(spark, sf_dir), AXES, ["id"])[1]
+
+
+#: Of two scaled columns the components are their sum and difference, in the order of 1 + r and 1 - r.
+TWO = """WITH m AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa, avg(c_nationkey) AS mb, stddev_pop(c_nationkey) AS sb, corr(c_acctbal, c_nationkey) AS r FROM customer),
+ z AS (SELECT c_custkey, r, (c_acctbal - ma) / sa AS a, (c_nationkey - mb) / sb AS b FROM customer, m)"""
+
+
+def _two(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey"))
+    return project.pca_coordinates(rows, ["c_acctbal", "c_nationkey"], ["c_custkey"])
+
+
+@query(TWO + " SELECT c_custkey, round(CASE WHEN r >= 0 THEN a + b ELSE a - b END / sqrt(2), 5) + 0.0 AS pca_x, round(CASE WHEN r >= 0 THEN a - b ELSE a + b END / sqrt(2), 5) + 0.0 AS pca_y FROM z")
+def pca_of_two(spark, sf_dir):
+    return _two(spark, sf_dir)[0].select("c_custkey", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("pca_x", "pca_y")])
+
+
+LOADINGS = TWO + """, l AS (SELECT unnest(['PC1', 'PC2']) AS pc, unnest([(1 + abs(r)) / 2, (1 - abs(r)) / 2]) AS share, unnest([sign(r), -sign(r)]) AS s FROM m),
+ e AS (SELECT pc, 'c_acctbal' AS feature, sqrt(0.5) AS loading, share FROM l UNION ALL SELECT pc, 'c_nationkey', s * sqrt(0.5), share FROM l)"""
+
+
+@query(LOADINGS + " SELECT pc, feature, round(loading, 6) AS loading, round(share, 6) AS explained_variance_ratio FROM e")
+def loadings_of_two(spark, sf_dir):
+    return rounded(_two(spark, sf_dir)[1], ["loading", "explained_variance_ratio"])
+
+
+@query(LOADINGS + " SELECT pc, round(100 * any_value(share), 1) AS explained_pct, string_agg(feature || '=' || CAST(round(loading, 3) AS VARCHAR), ',' ORDER BY feature) AS loadings FROM e GROUP BY pc")
+def loadings_map(spark, sf_dir):
+    got = project.loadings_by_component(_two(spark, sf_dir)[1])
+    return got.select("pc", "explained_pct", F.array_join(F.transform(F.map_entries("loadings"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("loadings"))
 
 
 @query()
 def kmeans(spark, sf_dir):
-    return project.kmeans(_points(spark, sf_dir).drop("cluster"), ["x0", "x1", "x2"], 4, starts=3).select("id", "cluster")
+    return project.kmeans(_points(spark, sf_dir).drop("cluster"), AXES, 4).select("id", "cluster")
+
+
+@query("SELECT vec_id AS id, TRUE AS nearest FROM embeddings")
+def kmeans_is_settled(spark, sf_dir):
+    """Whether each point's cluster is the one of the nearest mean: what k-means ends at."""
+    got = project.kmeans(_points(spark, sf_dir).drop("cluster"), AXES, 4)
+    means = got.groupBy("cluster").agg(*[F.avg(f"{x}_scaled").alias(f"m_{x}") for x in AXES]).select(F.col("cluster").alias("other"), F.array(*[f"m_{x}" for x in AXES]).alias("mean"))
+    vec = F.array(*[f"{x}_scaled" for x in AXES])
+    far = F.aggregate(F.zip_with("v", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    # the means are k rows
+    each = got.select("id", "cluster", vec.alias("v")).join(F.broadcast(means), F.lit(True)).withColumn("far", far)
+    return each.groupBy("id").agg(F.min("far").alias("least"), F.min(F.when(F.col("cluster") == F.col("other"), F.col("far"))).alias("own")).select("id", (F.col("own") <= F.col("least") + 1e-6).alias("nearest"))
+
+
+def _select_k(spark, sf_dir):
+    k, by = project.select_k(_points(spark, sf_dir).drop("cluster"), AXES, range(4, 9))
+    return spark.createDataFrame([(i, s, i == k) for i, s in by.items()], "k int, silhouette double, chosen boolean")
 
 
 @query()
 def select_k(spark, sf_dir):
-    k, by = project.select_k(_points(spark, sf_dir).drop("cluster"), ["x0", "x1", "x2"], range(3, 6), starts=2)
-    return spark.createDataFrame([(i, s, i == k) for i, s in by.items()], "k int, silhouette double, chosen boolean")
+    return _select_k(spark, sf_dir)
+
+
+@query("SELECT unnest(range(4, 9))::INTEGER AS k, TRUE AS fits")
+def select_k_takes_the_best(spark, sf_dir):
+    """For each k whether it is chosen just if no silhouette is higher, and none before is as high."""
+    got = _select_k(spark, sf_dir)
+    best = got.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("best"))
+    return got.join(F.broadcast(best), F.lit(True)).select("k", ((F.col("k") == F.col("best")) == F.col("chosen")).alias("fits"))
 
 
 def _named(spark, sf_dir, name, key, year):
@@ -444,7 +510,15 @@ def _named(spark, sf_dir, name, key, year):
     return df.select(F.col(key).alias("id"), F.col(key).alias("order"), made.alias("name"), year.alias("birth_year"))
 
 
-@query()
+#: The names of _named: a word of three letters and one of a digest's letters. Two are similar if the second words are equal: with other first words an
+#: insertion and a deletion apart in L letters.
+FUZZY = """WITH l AS (SELECT s_suppkey AS id, left(md5(CAST(s_suppkey AS VARCHAR)), 1) || 'an' AS a, regexp_replace(md5(CAST(s_suppkey % 997 AS VARCHAR)), '[0-9]', '', 'g') AS b, s_nationkey AS y FROM supplier),
+ r AS (SELECT c_custkey AS id, left(md5(CAST(c_custkey AS VARCHAR)), 1) || 'an' AS a, regexp_replace(md5(CAST(c_custkey % 997 AS VARCHAR)), '[0-9]', '', 'g') AS b, c_nationkey AS y FROM customer),
+ s AS (SELECT l.id AS left_id, r.id AS right_id, CASE WHEN l.a = r.a THEN 100.0 ELSE 100.0 * (length(l.b) + 3) / (length(l.b) + 4) END AS score FROM l JOIN r ON l.b = r.b AND abs(l.y - r.y) <= 1)
+ SELECT left_id, right_id, round(CAST(score AS DOUBLE), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS k FROM s WHERE score >= 92) WHERE k = 1"""
+
+
+@query(FUZZY)
 def fuzzy_match(spark, sf_dir):
     left, right = _named(spark, sf_dir, "supplier", "s_suppkey", F.col("s_nationkey")), _named(spark, sf_dir, "customer", "c_custkey", F.col("c_nationkey"))
     return resolve.best_matches(resolve.candidates(left, right)).select("left_id", "right_id", F.round("score", 4).alias("score"))
