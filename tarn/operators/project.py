@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -89,7 +91,11 @@ def kmeans(df: DataFrame, columns: list[str], k: int, starts: int = 10, seed: in
     """Complete cases with `cluster`: the best of several seeded starts by cost. Ids follow the centres along the first column, highest first, so they mean the
     same from fit to fit."""
     data = materialize(VectorAssembler(inputCols=[f"{c}_scaled" for c in columns], outputCol="__v").transform(scaled(df, columns)), "kmeans")
-    best = min((KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="__c").fit(data) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    data = data.coalesce(1 + data.count() // 20_000)  # small tables in few tasks: a fit is many short jobs
+    fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="__c").fit(data)
+    with ThreadPoolExecutor(4) as pool:  # the starts' jobs side by side
+        models = list(pool.map(fit, range(starts)))
+    best = min(models, key=lambda m: m.summary.trainingCost)
     order = sorted(range(len(best.clusterCenters())), key=lambda i: -best.clusterCenters()[i][0])
     ids = F.element_at(F.array(*[F.lit(order.index(i)) for i in range(len(order))]), F.col("__c") + 1)
     return best.transform(data).withColumn("cluster", ids).drop("__c", "__v")

@@ -130,19 +130,26 @@ def _without_hopeless(pairs: DataFrame) -> DataFrame:
 def assign_one_to_one(pairs: DataFrame) -> DataFrame:
     """Left rows in their order each take their best right row that is still free: (left_id, right_id, score).
 
-    Deferred acceptance: every left row without a place asks its best right row that hasn't refused it; a right row keeps the earliest that
-    asks, and refuses the others. It ends at the same assignment as going through the left rows one after another, as each round refuses a pair
-    for good."""
-    left = materialize(_without_hopeless(pairs), "assignment")
+    Rounds of deferred acceptance: every left row without a place asks its best right row; a right row refuses all but the earliest that asks. A right
+    row whose earliest possible taker asks for it is taken for good, and leaves all other lists, which may make them equal again, so hopeless pairs
+    are looked for anew. It ends, without any refusal, at the same assignment as going through the left rows one after another."""
+    left, taken = materialize(_without_hopeless(pairs), "assignment"), []
     while True:
-        asks = best_matches(left)
+        asks = materialize(best_matches(left), "asks")
         keeps = F.row_number().over(W.partitionBy("right_id").orderBy("left_order", "left_id"))
         refused = materialize(asks.withColumn("__rank", keeps).where("__rank > 1").select("left_id", "right_id"), "refused")
         if refused.isEmpty():
-            return best_matches(left).select("left_id", "right_id", "score")
-        left, before = materialize(left.join(refused, ["left_id", "right_id"], "left_anti"), "assignment"), left
-        release(before)
-        release(refused)
+            out = asks.select("left_id", "right_id", "score")
+            for df in taken:
+                out = out.unionByName(df)
+            return out
+        first = left.groupBy("right_id").agg(F.min(F.struct("left_order", "left_id")).alias("f"))
+        final = materialize(asks.join(first, "right_id").where("f.left_id = left_id").select("left_id", "right_id", "score"), "taken")
+        taken.append(final)
+        rest = left.join(refused, ["left_id", "right_id"], "left_anti").join(final.select("left_id"), "left_id", "left_anti").join(final.select("right_id"), "right_id", "left_anti")
+        left, before = materialize(_without_hopeless(rest), "assignment"), left
+        for df in (before, asks, refused):
+            release(df)
 
 
 def resolve_persons(anchors: DataFrame, second: DataFrame, third: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -60,6 +60,20 @@ def test_assignment_equals_taking_turns(spark, seed):
     assert {(r.left_id, r.right_id) for r in resolve.assign_one_to_one(df).collect()} == want
 
 
+def test_namesakes_need_no_round_each(spark, monkeypatch):
+    """Two hundred rows of one name on both sides, and a few that only like some of them."""
+    rounds = []
+    monkeypatch.setattr(resolve, "materialize", lambda df, label, own=resolve.materialize: rounds.append(label) or own(df, label))
+    n = 200
+    rows = [(f"l{i:03d}", i, f"r{j:03d}", j, 100.0) for i in range(n) for j in range(n)] + [("x", -1, "r000", 0, 95.0), ("y", 500, "r001", 1, 99.0)]
+    pairs = spark.createDataFrame(rows, "left_id string, left_order long, right_id string, right_order long, score double")
+    got = {r.left_id: r.right_id for r in resolve.assign_one_to_one(pairs).collect()}
+    assert got == {"x": "r000"} | {f"l{i:03d}": f"r{i + 1:03d}" for i in range(n - 1)}
+    assert rounds.count("refused") <= 4
+    rounds.clear()
+    assert len(resolve.assign_one_to_one(pairs.where("left_id not in ('x', 'y')")).collect()) == n and rounds.count("refused") == 1
+
+
 def test_resolution(spark):
     a = people(spark, [("jan novak", 1990), ("petr maly", 1995)]).withColumn("eligible", F.lit("yes"))
     b = people(spark, [("jan novak", 1991), ("karel velky", 1993), ("karel velky", 1993)])

@@ -54,6 +54,12 @@ def test_brief(spark):
     assert [(s.heading, s.html) for s in got.sections] == [("", "<p>lead</p>"), ("One", "<p>Text <strong>b</strong>.</p>\n<p>More</p>"), ("Two", "<p>x</p>")]
 
 
+def test_binary_rounding(spark):
+    values = [2.675, 0.125, 0.375, -2.675, 1.005, 7.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.r for r in df.select(text.round_binary("v", 2).alias("r")).collect()] == [None if v is None else round(v, 2) for v in values]
+
+
 def test_localized(spark):
     df = spark.sql("select named_struct('cs', 'Praha', 'default', 'Prague') c union all select named_struct('cs', '', 'default', 'Brno') union all select named_struct('cs', null, 'default', null)")
     assert {r.y for r in df.select(text.localized("c", "cs").alias("y")).collect()} == {"Praha", "Brno", None}
