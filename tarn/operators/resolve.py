@@ -133,9 +133,10 @@ def assign_one_to_one(pairs: DataFrame) -> DataFrame:
     Rounds of deferred acceptance: every left row without a place asks its best right row; a right row refuses all but the earliest that asks. A right
     row whose earliest possible taker asks for it is taken for good, and leaves all other lists, which may make them equal again, so hopeless pairs
     are looked for anew. It ends, without any refusal, at the same assignment as going through the left rows one after another."""
-    left, taken = materialize(_without_hopeless(pairs), "assignment"), []
+    left, taken, dead = materialize(pairs, "assignment"), [], None
     while True:
-        asks = materialize(best_matches(left), "asks")
+        open_ = _without_hopeless(left)
+        asks = materialize(best_matches(open_ if dead is None else open_.join(dead, ["left_id", "right_id"], "left_anti")), "asks")
         keeps = F.row_number().over(W.partitionBy("right_id").orderBy("left_order", "left_id"))
         refused = materialize(asks.withColumn("__rank", keeps).where("__rank > 1").select("left_id", "right_id"), "refused")
         if refused.isEmpty():
@@ -146,9 +147,11 @@ def assign_one_to_one(pairs: DataFrame) -> DataFrame:
         first = left.groupBy("right_id").agg(F.min(F.struct("left_order", "left_id")).alias("f"))
         final = materialize(asks.join(first, "right_id").where("f.left_id = left_id").select("left_id", "right_id", "score"), "taken")
         taken.append(final)
-        rest = left.join(refused, ["left_id", "right_id"], "left_anti").join(final.select("left_id"), "left_id", "left_anti").join(final.select("right_id"), "right_id", "left_anti")
-        left, before = materialize(_without_hopeless(rest), "assignment"), left
-        for df in (before, asks, refused):
+        # refused pairs stay in the lists that are compared, as they would make equal ones differ
+        dead = refused if dead is None else dead.unionByName(refused)
+        rest = left.join(final.select("left_id"), "left_id", "left_anti").join(final.select("right_id"), "right_id", "left_anti")
+        left, before = materialize(rest, "assignment"), left
+        for df in (before, asks):
             release(df)
 
 
