@@ -36,10 +36,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tarn.llm.common import Memo, materialize, resident, short_batches
 
-#: Numbers that are word characters but no letters (½, ², ①), by rule from the Unicode data: what is left of \w without them, digits and the
-#: underscore is what Unicode calls letters.
-NUMBERS = "".join(c for c in map(chr, range(0xA0, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+#: Numbers that are word characters but no letters (½, ², ①), by rule from the Unicode data; what is left of \w without them, digits and the
+#: underscore is what Unicode calls letters. Few texts have any, and only those are split by the slow class.
+NUMBERS = frozenset(c for c in map(chr, range(0xA0, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS, STRICT_LETTERS = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{''.join(sorted(NUMBERS))}]+")
+MAYBE_NUMBER = re.compile("[" + "".join(sorted(c for c in NUMBERS if c < "\u0300")) + "\u0300-\U0010ffff]")
 #: Order of the models; documents of a language that are learned from; distinct words that a worker counts before it passes them on.
 ORDER, SAMPLE_DOCS, FLUSH = 4, 1500, 150_000
 #: Cells (words or grams by languages) that are scored at once, about.
@@ -51,7 +52,11 @@ RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("entropy",
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    odd = not low.isascii() and MAYBE_NUMBER.search(low) and not NUMBERS.isdisjoint(low)
+    return (STRICT_LETTERS if odd else LETTERS).findall(low)
 
 
 def grams(word: str, order: int) -> list[str]:
