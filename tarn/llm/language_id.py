@@ -284,7 +284,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
-    """docs with a struct column: lang, score (0 to 1), entropy (bits a character), distance (beyond the language's usual; null without calibration), rejected."""
+    """docs with a struct column: lang, score (0 to 1), entropy (bits a character), distance (beyond the language's usual; null without calibration), rejected. A
+    column of the result's name is replaced."""
     spark = docs.sparkSession
     short_batches(spark)
     name, held = uuid.uuid4().hex, spark.sparkContext.broadcast(model)  # the grams of the sample

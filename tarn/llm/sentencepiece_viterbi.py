@@ -280,5 +280,9 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         ids = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat, pa.int32()))
         return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], fields=list(kind))
 
-    got = docs.select(F.col(id_col).alias("doc_id"), *carry, both(F.col(text_col)).alias("r"))
-    return got.select("doc_id", *carry, F.col("r.ids").alias("ids"), F.size("r.ids").cast("long").alias("n_tokens"), F.col("r.same").alias("round_trip"))
+    name = "__pieces"
+    while name in carry:
+        name += "_"
+    got = docs.select(F.col(id_col).alias("doc_id"), *carry, both(F.col(text_col)).alias(name))
+    made = F.col(name)
+    return got.select("doc_id", *carry, made["ids"].alias("ids"), F.size(made["ids"]).cast("long").alias("n_tokens"), made["same"].alias("round_trip"))

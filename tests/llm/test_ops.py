@@ -212,6 +212,8 @@ def test_encode_and_decode_columns(docs, nothing):
     got = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, MODEL), MODEL)
     assert got.where("doc_id < 40 and decoded <> text").count() == 0 and got.columns == [*docs.columns, "ids", "decoded"]
     assert sentencepiece_viterbi.round_trip(nothing, MODEL).count() == 0
+    clash = docs.withColumnRenamed("source", "r").withColumn("__pieces", F.lit(1))
+    assert sentencepiece_viterbi.round_trip(clash, MODEL, carry=("r", "__pieces")).columns == ["doc_id", "r", "__pieces", "ids", "n_tokens", "round_trip"]
 
 
 # warc
