@@ -60,7 +60,7 @@ class Memo:
         self.compute, self.limit, self.longest = compute, limit, longest
         self.data, self.old, self.long = {}, {}, []
 
-    def of(self, words: list) -> dict:
+    def of(self, words: list | set) -> dict:
         """A dict that holds every word of `words`; until the next call of tidy or of."""
         missing = set(words).difference(self.data)
         if not missing:

@@ -211,7 +211,7 @@ class Pieces:
                 else:
                     whole.append(run)
             cut.append(whole)
-        known = self.parts.of([p for x in cut for p in x])
+        known = self.parts.of(set().union(*cut))
         out = [known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in cut]
         self.parts.tidy()
         return out
@@ -219,7 +219,7 @@ class Pieces:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text as 32-bit integers."""
         cut = [CHUNKS.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.chunks.of([c for x in cut for c in x])
+        known = self.chunks.of(set().union(*cut))
         out = [b"".join(map(known.__getitem__, x)) for x in cut]
         self.chunks.tidy()
         return out

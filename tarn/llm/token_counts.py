@@ -150,7 +150,7 @@ class Encoder:
         rest = [i for i, n in enumerate(out) if n is None]
         if self.separable:
             split = [self.words(texts[i]) for i in rest]
-            sizes = self.sizes.of([w for ws in split for w in ws])
+            sizes = self.sizes.of(set().union(*split))
             for i, ws in zip(rest, split):
                 out[i] = sum(map(sizes.__getitem__, ws))
             self.sizes.tidy()
@@ -164,7 +164,7 @@ class Encoder:
         if not self.separable:
             return [np.array(self.chunked(t) if len(t) > CHUNK + OVERLAP else self.ids([t])[0], self.dtype).tobytes() if t else b"" for t in texts]
         split = [self.words(t) if t else [] for t in texts]
-        codes = self.codes.of([w for ws in split for w in ws])
+        codes = self.codes.of(set().union(*split))
         out = [b"".join(map(codes.__getitem__, ws)) for ws in split]
         self.codes.tidy()
         return out
