@@ -44,7 +44,7 @@ MAYBE_NUMBER = re.compile("[" + "".join(sorted(c for c in NUMBERS if c < "\u0300
 #: Order of the models; documents of a language that are learned from; distinct words that a worker counts before it passes them on.
 ORDER, SAMPLE_DOCS, FLUSH = 4, 1500, 150_000
 #: Cells (words or grams by languages) that are scored at once, about.
-CELLS = 16_000_000
+CELLS = 4_000_000
 #: Distinct texts of a language below which it isn't split; texts that the common spread counts as; least spread, in bits.
 LEAST, PRIOR, FLOOR = 10, 20, 0.5
 OPEN, CLOSE, UNDECIDED = "\x02", "\x03", "und"
