@@ -8,7 +8,7 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f("x").alias("y")).first().y
 
 
-@pytest.mark.parametrize("raw,want", [("David Pastrňák", "david pastrnak"), ("Markus Hännikäinen", "markus hannikainen"), ("Petr Vechet *", "petr vechet"), ("", ""), (None, ""), ("   ", ""), ("A B\t C", "a b c")])
+@pytest.mark.parametrize("raw,want", [("Ladislav Kůň", "ladislav kun"), ("Mårten Öhman", "marten ohman"), ("Ota Borový *", "ota borovy"), ("", ""), (None, ""), ("   ", ""), ("A B\t C", "a b c")])
 def test_names(spark, raw, want):
     assert one(spark, raw, text.normalize_name) == want
 
