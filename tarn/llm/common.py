@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarn.sources.shared import materialize, new_path, release, shared_dir
 
-__all__ = ["Memo", "filesystem", "materialize", "new_path", "once", "release", "resident", "shared_dir", "short_batches", "table"]
+__all__ = ["Memo", "begin_stage", "filesystem", "materialize", "new_path", "once", "release", "resident", "shared_dir", "short_batches", "table"]
 
 #: Rows in one Arrow batch sent to a Python worker; documents can be long, so batches are short.
 ARROW_ROWS = 400
@@ -38,15 +41,25 @@ _residents: dict = {}
 _stage: list = [None]
 
 
-def resident(key, make):
-    """What make() gives, kept in this worker process under key. Automata, models and memories of other stages go when a new stage begins, so a
-    worker that serves many stages holds what one needs."""
+def begin_stage(keep=None) -> None:
+    """Once a stage in each worker process: automata, models and memories of other stages go, but what is under the key `keep`, and freed memory
+    goes back to the system, so a worker that serves many stages holds what one needs."""
     context = TaskContext.get()
     stage = context.stageId() if context else None
-    if stage != _stage[0]:
-        _stage[0] = stage
-        for old in [k for k in _residents if k != key]:
-            del _residents[old]
+    if stage == _stage[0]:
+        return
+    _stage[0] = stage
+    for old in [k for k in _residents if k != keep]:
+        del _residents[old]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def resident(key, make):
+    """What make() gives, kept in this worker process under key, for this stage and for later ones that begin with it."""
+    begin_stage(key)
     if key not in _residents:
         _residents[key] = make()
     return _residents[key]

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tarn.llm.common import materialize, release, short_batches
+from tarn.llm.common import begin_stage, materialize, release, short_batches
 
 SEED, FANOUT = 42, 8
 #: Fingerprints of one bucket that one task compares; and the mean size of a bucket that `keep` is chosen for.
@@ -58,6 +58,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 @F.arrow_udf(T.LongType())
 def fingerprint_udf(text: pa.Array) -> pa.Array:
+    begin_stage()
     return pa.array(np.array([fingerprint(x) for x in text.to_pylist()], np.uint64).view(np.int64), pa.int64())
 
 
@@ -143,6 +144,7 @@ def bucket_links(codes: np.ndarray, side: np.ndarray, radius: int) -> list[tuple
 def _links_udf(radius: int):
     def links(batches):
         """Rows come sorted by bucket; one bucket at a time is held."""
+        begin_stage()
         held = {"bucket": None, "code": [], "node": [], "side": []}
 
         def flush():
