@@ -5,13 +5,14 @@ import re
 import zipfile
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import decontamination, hidden_markov, language_id, pii_surrogates, quality_rules, sentencepiece_viterbi, simhash, token_counts, token_files, warc_packages
+from tarn.llm import common, decontamination, hidden_markov, language_id, pii_surrogates, quality_rules, sentencepiece_viterbi, simhash, token_counts, token_files, warc_packages
 from tarn.llm.common import Memo, new_path
 from tests.llm.conftest import rows_of
 
@@ -33,6 +34,20 @@ def test_memo_is_bounded():
     assert made.count("hot") == 1
 
 
+def test_a_stage_leaves_nothing_to_the_next(monkeypatch):
+    stage = [1]
+    monkeypatch.setattr(common, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(stageId=lambda: stage[0])))
+    monkeypatch.setattr(common, "_residents", {})
+    monkeypatch.setattr(common, "_stage", [None])
+    made = common.resident("a", object)
+    assert common.resident("a", object) is made and common.resident("b", object) is not made
+    stage[0] = 2
+    assert common.resident("a", object) is made and set(common._residents) == {"a"}
+    stage[0] = 3
+    common.begin_stage()
+    assert not common._residents
+
+
 # decontamination
 
 
