@@ -516,7 +516,7 @@ FUZZY = """WITH l AS (SELECT s_suppkey AS id, left(md5(CAST(s_suppkey AS VARCHAR
 @query(FUZZY)
 def fuzzy_match(spark, sf_dir):
     left, right = _named(spark, sf_dir, "supplier", "s_suppkey", F.col("s_nationkey")), _named(spark, sf_dir, "customer", "c_custkey", F.col("c_nationkey"))
-    return resolve.best_matches(resolve.candidates(left, right)).select("left_id", "right_id", F.round("score", 4).alias("score"))
+    return resolve.best_candidates(left, right).select("left_id", "right_id", F.round("score", 4).alias("score"))
 
 
 @query()

@@ -46,6 +46,24 @@ def test_candidates_equal_the_cross_product(spark):
     assert {(r.left_id, r.right_id) for r in got} == want
 
 
+def test_best_candidates_equal_best_matches(spark):
+    rng = random.Random(3)
+    name = lambda: f"{rng.choice('abcd')}an {rng.choice(['kolovrat', 'kolovrad', 'slunecko', 'bednar', 'xy'])}" + rng.choice(["", " jun"])
+    side = lambda n: people(spark, [(name(), rng.choice([None, 1990, 1991, 1992, 1995])) for _ in range(n)])
+    left, right = side(40), side(60)
+    rows = lambda df: {(r.left_id, r.right_id, r.score) for r in df.collect()}
+    want = rows(resolve.best_matches(resolve.candidates(left, right)))
+    assert rows(resolve.best_candidates(left, right)) == want and len(want) > 20
+
+
+def test_namesakes_are_compared_once(spark):
+    """Three thousand rows of few names on each side: the pairs of rows alone would be millions."""
+    many = spark.range(3000).select("id", F.col("id").alias("order"), F.concat(F.lit("jan "), F.element_at(F.array(*map(F.lit, ["kolovrat", "slunecko", "bednar"])), (F.col("id") % 3 + 1).cast("int"))).alias("name"), F.lit(1990).alias("birth_year"))
+    assert resolve.similar_names(many, many).count() == 3
+    got = resolve.best_candidates(many, many)
+    assert got.count() == 3000 and {(r.right_id, r.score) for r in got.collect()} == {(i, 100.0) for i in range(3)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_assignment_equals_taking_turns(spark, seed):
     rng = random.Random(seed)
