@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tarn.sources.shared import materialize
+from tarn.sources.shared import materialize, release
 
 SEED = 42
-#: Columns up to which covariances are plain aggregates; rows that the exact silhouette compares with one another.
-FEW, SILHOUETTE_ROWS = 8, 50_000
+#: Columns up to which covariances are plain aggregates, and distances are taken column by column; rows of a task of a fit; rows of a block of
+#: distances; values of a table that a task holds as a whole (64 MB).
+FEW, ROWS_A_TASK, BLOCK, TASK_HOLDS = 8, 20_000, 1024, 8_000_000
 
 
 def scaled(df: DataFrame, columns: list[str], suffix: str = "_scaled") -> DataFrame:
@@ -87,44 +84,248 @@ def loadings_by_component(loadings: DataFrame) -> DataFrame:
     return loadings.groupBy("pc").agg(F.round(100 * F.first("explained_variance_ratio"), 1).alias("explained_pct"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", F.round("loading", 3))))).alias("loadings"))
 
 
+def _matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    return np.stack([batch[c].to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(np.float64)
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ centres.T) + (centres * centres).sum(1)[None], 0.0)
+
+
+def _first_centres(data: DataFrame, columns: list[str], most: int, starts: int, seed: int) -> list[np.ndarray]:
+    """`most` first centres of each start by k-means++ over all rows: the next centre is drawn by squared distance to those there are. The draws are the
+    least of exponential times, which depend on the row's columns and the start only, so the rows' order and places change nothing. All starts draw in the
+    same pass; the first k centres are a start's for k clusters."""
+    drawn = [np.empty((0, len(columns))) for _ in range(starts)]
+    for turn in range(most):
+        there = [d.copy() for d in drawn]
+
+        def draw(batches, there=there, turn=turn):
+            best: list = [(np.inf, None)] * starts
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _matrix(batch, columns)
+                row = batch["__hash"].to_numpy(zero_copy_only=False).astype(np.uint64)
+                for s in range(starts):
+                    with np.errstate(over="ignore"):
+                        h = row ^ (np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn * starts + s + 1) * np.uint64(0xD1B54A32D192ED03))
+                        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+                    u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 0.5
+                    weight = _squares(x, there[s]).min(1) if turn else np.ones(len(x))
+                    with np.errstate(divide="ignore"):
+                        time = np.where(weight > 0, -np.log(u / 2.0**53) / weight, np.inf)
+                    i = int(time.argmin())
+                    if best[s][1] is None or time[i] < best[s][0]:
+                        best[s] = (float(time[i]), x[i])
+            rows = [(s, t, v.tolist()) for s, (t, v) in enumerate(best) if v is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.list_(pa.float64())))], names=["s", "t", "v"])
+
+        got = data.mapInArrow(draw, "s int, t double, v array<double>").groupBy("s").agg(F.min_by("v", F.struct("t", "v")).alias("v")).collect()  # a row a start
+        for r in got:
+            drawn[r.s] = np.vstack([drawn[r.s], np.array(r.v)])
+    return drawn
+
+
+def _sums(x: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """A row a centre: the sums of its rows (those it is nearest to), their number and their squared distances."""
+    of, rows = far.argmin(1), np.arange(len(x))
+    one = np.zeros((far.shape[1], len(x)))
+    one[of, rows] = 1.0
+    return one @ np.column_stack([x, np.ones(len(x)), far[rows, of]])
+
+
+def _moved(centres: np.ndarray, total: np.ndarray, before: float, tolerance: float) -> tuple[np.ndarray, float, bool]:
+    """(Means of the rows by centre, the step's cost, whether it was the last one.) A centre without rows stays."""
+    n, cost = total[:, -2:-1], float(total[:, -1].sum())
+    moved = np.where(n > 0, total[:, :-2] / np.maximum(n, 1.0), centres)
+    return moved, cost, bool(((moved - centres) ** 2).sum() <= tolerance or cost >= before)
+
+
+def _lloyd_in_tasks(data: DataFrame, columns: list[str], sets: list[np.ndarray], tolerance: float, most: int | None) -> tuple[list[np.ndarray], list[float]]:
+    """_lloyd for tables that a task holds: the sets are dealt to tasks, each of which has all rows and makes all its steps."""
+    tasks = min(len(sets), 8)
+
+    def run(key, t):
+        first, made = key[0].as_py(), []
+        x = np.stack([t[c].to_numpy() for c in columns], axis=1).astype(np.float64)[np.argsort(t["__hash"].to_numpy(), kind="stable")]
+        for i in range(first, len(sets), tasks):
+            c, cost, last, step = sets[i], np.inf, False, 0
+            while not last and (most is None or step < most):
+                c, cost, last = _moved(c, _sums(x, _squares(x, c)), cost, tolerance)
+                step += 1
+            made.append((i, c.ravel().tolist(), cost))
+        return pa.table({"i": pa.array([m[0] for m in made], pa.int32()), "v": pa.array([m[1] for m in made], pa.list_(pa.float64())), "cost": pa.array([m[2] for m in made], pa.float64())})
+
+    dealt = data.withColumn("__task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).groupBy("__task")
+    got = {r.i: r for r in dealt.applyInArrow(run, "i int, v array<double>, cost double").collect()}  # a row a set
+    return [np.array(got[i].v).reshape(c.shape) for i, c in enumerate(sets)], [got[i].cost for i in range(len(sets))]
+
+
+def _lloyd(data: DataFrame, columns: list[str], sets: list[np.ndarray], tolerance: float, most: int | None) -> tuple[list[np.ndarray], list[float]]:
+    """Several sets of centres, moved to the means of their rows until a step moves them by `tolerance` (summed squares) at most or costs no less than the one before, or `most`
+    steps; all sets in the same pass over the rows. (Centres, cost of the last pass by set.)"""
+    sets, cost, open_, step = [c.copy() for c in sets], [np.inf] * len(sets), list(range(len(sets))), 0
+    while open_ and (most is None or step < most):
+        now = {i: sets[i] for i in open_}
+
+        def sums(batches, now=now):
+            total = {i: np.zeros((len(c), c.shape[1] + 2)) for i, c in now.items()}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _matrix(batch, columns)
+                every, ends = _squares(x, np.vstack(list(now.values()))), np.cumsum([len(c) for c in now.values()])
+                for (i, c), end in zip(now.items(), ends):
+                    total[i] += _sums(x, every[:, end - len(c) : end])
+            rows = [(i, j, row.tolist()) for i, t in total.items() for j, row in enumerate(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.float64())))], names=["i", "j", "v"])
+
+        # a row a centre and task comes to the driver
+        parts = sorted(data.mapInArrow(sums, "i int, j int, v array<double>").collect(), key=lambda r: (r.i, r.j, r.v))
+        total = {i: np.zeros((len(sets[i]), len(columns) + 2)) for i in open_}
+        for r in parts:
+            total[r.i][r.j] += r.v
+        for i, t in total.items():
+            sets[i], cost[i], last = _moved(sets[i], t, cost[i], tolerance)
+            if last:
+                open_.remove(i)
+        step += 1
+    return sets, cost
+
+
+def _fitted(df: DataFrame, columns: list[str], ks: list[int], starts: int, seed: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """(scaled complete rows, centres by k). Of each k several starts run to scikit-learn's tolerance (1e-4, 300 steps), and the best by cost goes on
+    until its centres stand still, so each row's cluster is the one of the nearest mean."""
+    made = [f"{c}_scaled" for c in columns]
+    rows = scaled(df, columns)
+    data = materialize(rows.withColumn("__hash", F.xxhash64(*sorted(rows.columns))), "kmeans")
+    slim = data.select("__hash", *made)
+    n = slim.count()
+    slim = slim.coalesce(1 + n // ROWS_A_TASK)  # small tables in few tasks: a fit is many short jobs
+    move = _lloyd_in_tasks if 0 < n * len(made) <= TASK_HOLDS else _lloyd
+    drawn = _first_centres(slim, made, max(ks), starts, seed)
+    sets, cost = move(slim, made, [d[:k] for k in ks for d in drawn], 1e-4, 300)
+    best = [min(range(i * starts, (i + 1) * starts), key=lambda j: cost[j]) for i in range(len(ks))]
+    settled, _ = move(slim, made, [sets[j] for j in best], 1e-18, None)
+    return data.drop("__hash"), {k: c[np.argsort(-c[:, 0], kind="stable")] for k, c in zip(ks, settled)}
+
+
+def _assigned(data: DataFrame, columns: list[str], centres: dict[str, np.ndarray]) -> DataFrame:
+    """data with a column of the nearest centre's number for each set of centres."""
+    made = [f"{c}_scaled" for c in columns]
+
+    def assign(batches):
+        for batch in batches:
+            x = _matrix(batch, made)
+            of = [pa.array(_squares(x, c).argmin(1).astype(np.int32)) for c in centres.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *of], names=[*batch.schema.names, *centres])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema.fields)
+    return data.mapInArrow(assign, ", ".join([kinds, *[f"`{n}` int" for n in centres]]))
+
+
 def kmeans(df: DataFrame, columns: list[str], k: int, starts: int = 10, seed: int = SEED) -> DataFrame:
-    """Complete cases with `cluster`: the best of several seeded starts by cost. Ids follow the centres along the first column, highest first, so they mean the
-    same from fit to fit."""
-    data = materialize(VectorAssembler(inputCols=[f"{c}_scaled" for c in columns], outputCol="__v").transform(scaled(df, columns)), "kmeans")
-    data = data.coalesce(1 + data.count() // 20_000)  # small tables in few tasks: a fit is many short jobs
-    fit = lambda i: KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="__c").fit(data)
-    with ThreadPoolExecutor(4) as pool:  # the starts' jobs side by side
-        models = list(pool.map(fit, range(starts)))
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    order = sorted(range(len(best.clusterCenters())), key=lambda i: -best.clusterCenters()[i][0])
-    ids = F.element_at(F.array(*[F.lit(order.index(i)) for i in range(len(order))]), F.col("__c") + 1)
-    return best.transform(data).withColumn("cluster", ids).drop("__c", "__v")
-
-
-def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster", key: str = "id", most: int = SILHOUETTE_ROWS) -> DataFrame:
-    """One row: the exact mean Euclidean silhouette. The measure compares every row with all rows, so a table of more than `most` rows is refused
-    (50,000 rows are 2.5 billion distances); points meet in blocks by salt, never in one task. A cluster of one row counts 0."""
-    if (n := df.count()) > most:
+    """Complete cases with `cluster`: the best of several seeded starts by cost, run until no row changes. Ids follow the centres along the first column,
+    highest first, so they mean the same from fit to fit."""
+    data, centres = _fitted(df, columns, [k], starts, seed)
+    return _assigned(data.drop("cluster"), columns, {"cluster": centres[k]})
+
+
+def _silhouettes(df: DataFrame, columns: list[str], clusters: list[str]) -> dict[str, float]:
+    """The exact mean Euclidean silhouette of each of several clusterings of the same rows. Equal rows of equal clusters are one point that counts as often.
+    Every part of the points meets every part, once for all clusterings, and keeps sums of distances by cluster only."""
+    points = df.groupBy(*columns, *clusters).agg(F.count("*").cast("double").alias("__n")).withColumn("__id", F.monotonically_increasing_id())
+    points = materialize(points, "points")
+    sizes = {c: {r[0]: r.n for r in points.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum("__n").alias("n")).collect()} for c in clusters}  # a row a cluster
+    number = {c: {label: i for i, label in enumerate(sorted(sizes[c]))} for c in clusters}
+    size = {c: np.array([sizes[c][label] for label in number[c]]) for c in clusters}
+    ends = dict(zip(clusters, np.cumsum([len(size[c]) for c in clusters])))
+    width, n = int(max(ends.values(), default=0)), points.count()
+    if not width:
+        return {c: 0.0 if n else None for c in clusters}
+    parts = max(1, min(4, n // 1000), 1 + n // min(50_000, max(10_000, 640_000 // len(columns))))
+    numbers = lambda t, c: np.array([number[c].get(v, -1) for v in t[c].to_pylist()], dtype=np.int64)
+
+    def dealt(mine, others):
+        part = points.withColumn(mine, F.pmod(F.xxhash64("__id"), F.lit(parts)).cast("int"))
+        return part.withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("__i", "__j")
+
+    def meet(x, y):
+        a, b = (np.stack([t[c].to_numpy() for c in columns], axis=1).astype(np.float64) for t in (x, y))
+        many = y["__n"].to_numpy()
+        weights = np.zeros((len(b), width))
+        for c in clusters:
+            of = numbers(y, c)
+            at = np.flatnonzero(of >= 0)
+            weights[at, ends[c] - len(size[c]) + of[at]] = many[at]
+        out = np.zeros((len(a), width))
+        for i in range(0, len(a), BLOCK):
+            p = a[i : i + BLOCK]
+            for j in range(0, len(b), BLOCK):
+                q = b[j : j + BLOCK]
+                if len(columns) <= FEW:
+                    far = sum((p[:, k, None] - q[None, :, k]) ** 2 for k in range(len(columns)))
+                else:  # a product; what rounding leaves of equal points' distance goes
+                    far = _squares(p, q)
+                    far[far < 1e-13 * (p * p).sum(1)[:, None]] = 0.0
+                out[i : i + BLOCK] += np.sqrt(far) @ weights[j : j + BLOCK]
+        return pa.table({"__id": x["__id"], **{f"s{k}": out[:, k] for k in range(width)}})
+
+    def scores(batches):
+        for batch in batches:
+            sums, many = np.stack([batch[f"s{k}"].to_numpy() for k in range(width)], axis=1), batch["__n"].to_numpy()
+            made = []
+            for c in clusters:
+                of, far = numbers(batch, c), sums[:, ends[c] - len(size[c]) : ends[c]]
+                rows = np.arange(len(of))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    own = np.where(size[c][of] > 1, far[rows, of] / (size[c][of] - 1), np.nan)
+                    rest = far / size[c]
+                    rest[rows, of] = np.inf
+                    other = rest.min(1, initial=np.inf)
+                    s = (other - own) / np.maximum(own, other)
+                made.append(float((np.where(np.isfinite(s) & (of >= 0), s, 0.0) * many).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([m]) for m in made] + [pa.array([float(many.sum())])], names=[*[f"m{i}" for i in range(len(made))], "n"])
+
+    kinds = ", ".join(f"s{k} double" for k in range(width))
+    got = dealt("__i", "__j").cogroup(dealt("__j", "__i")).applyInArrow(meet, f"__id bigint, {kinds}")
+    got = got.groupBy("__id").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(width)]).join(points.select("__id", "__n", *clusters), "__id")
+    made = ", ".join(f"m{i} double" for i in range(len(clusters)))
+    row = got.mapInArrow(scores, f"{made}, n double").agg(*[(F.sum(f"m{i}") / F.sum("n")).alias(f"m{i}") for i in range(len(clusters))]).first()  # one row
+    release(points)
+    return dict(zip(clusters, row))
+
+
+def silhouette(df: DataFrame, columns: list[str], cluster: str = "cluster", key: str = "id", most: int | None = None) -> DataFrame:
+    """One row: the exact mean Euclidean silhouette. The measure compares every point with all points (equal rows are one point), so its time grows with the
+    square of their number; a caller may refuse tables of more than `most` rows. A cluster of one row counts 0."""
+    if most is not None and (n := df.count()) > most:
         raise ValueError(f"an exact silhouette of {n} rows; at most {most} are compared with one another")
-    vec = F.array(*columns)
-    left = df.select(F.col(key).alias("a"), F.col(cluster).alias("ca"), vec.alias("va"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
-    right = df.select(F.col(key).alias("b"), F.col(cluster).alias("cb"), vec.alias("vb"), F.pmod(F.xxhash64(key), F.lit(8)).cast("int").alias("salt"))
-    far = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"), lambda s, x: s + x))
-    sums = left.join(right, "salt").groupBy("a", "ca", "cb").agg(F.sum(far).alias("d"), F.count("*").alias("n"))
-    mine = F.sum(F.when((F.col("ca") == F.col("cb")) & (F.col("n") > 1), F.col("d") / (F.col("n") - 1)))
-    other = F.min(F.when(F.col("ca") != F.col("cb"), F.col("d") / F.col("n")))
-    each = sums.groupBy("a").agg(mine.alias("m"), other.alias("o"))
-    return each.agg(F.avg(F.coalesce(F.try_divide(F.col("o") - F.col("m"), F.greatest("m", "o")), F.lit(0.0))).alias("silhouette"))
+    return df.sparkSession.createDataFrame([(_silhouettes(df, columns, [cluster])[cluster],)], "silhouette double")
 
 
-def select_k(df: DataFrame, columns: list[str], ks: range, key: str = "id", starts: int = 10) -> tuple[int, dict[int, float]]:
-    """(k, silhouette by k): the first k of highest silhouette among those below the number of complete rows; 2, or the least k, where none fits."""
+def _selected(df: DataFrame, columns: list[str], ks: range, starts: int, seed: int = SEED) -> tuple[int, dict[int, float], DataFrame | None]:
+    """(k, silhouette by k, rows with the `cluster` of that k): the first k of highest silhouette. All k are fitted in the same passes over the rows, and all
+    their silhouettes come of one comparison of the points."""
     n = df.na.drop(subset=columns).count()
     fits = [k for k in ks if 2 <= k <= n - 1]
     if not fits:
-        return (2 if n > 2 else min(ks)), {}
-    got = {k: silhouette(kmeans(df, columns, k, starts), [f"{c}_scaled" for c in columns], key=key).first().silhouette for k in fits}
-    return max(fits, key=lambda k: (got[k], -k)), got
+        return (2 if n > 2 else min(ks)), {}, None
+    data, centres = _fitted(df, columns, fits, starts, seed)
+    names = {k: f"__k{k}" for k in fits}
+    rows = materialize(_assigned(data, columns, {names[k]: centres[k] for k in fits}), "clusters")
+    got = _silhouettes(rows, [f"{c}_scaled" for c in columns], list(names.values()))
+    by = {k: got[names[k]] for k in fits}
+    k = max(fits, key=lambda k: (by[k], -k))
+    return k, by, rows.withColumn("cluster", F.col(names[k])).drop(*names.values())
+
+
+def select_k(df: DataFrame, columns: list[str], ks: range, key: str = "id", starts: int = 10) -> tuple[int, dict[int, float]]:
+    """(k, silhouette by k): the first k of highest silhouette among those below the number of complete rows; 2, or the least k, where none fits."""
+    return _selected(df, columns, ks, starts)[:2]
 
 
 def both_projections(features: DataFrame, columns: dict[str, list[str]], key: list[str], position: str, meta: list[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -149,8 +350,8 @@ def clustered(features: DataFrame, coords: DataFrame, columns: dict[str, list[st
         if rows.limit(4).count() < 4:
             out = out.withColumn(column, F.lit(None).cast("int"))
             continue
-        k, by = select_k(rows, of, ks, "__id", starts)
-        got = materialize(kmeans(rows, of, k, starts).select(*rows.columns, "cluster"), "clustered")
+        k, by, got = _selected(rows, of, ks, starts)
+        got = materialize((kmeans(rows, of, k, starts) if got is None else got).select(*rows.columns, "cluster"), "clustered")
         out = out.join(got.select(*key, F.col("cluster").alias(column)), key, "left")
         part = cluster_summary(got, name=name, birth_year=birth_year, order="__id").select(
             F.lit(position).alias("position"), F.lit(projection).alias("projection"), F.col("cluster").alias("cluster_id"), F.lit(k).alias("k"), F.lit(float(by.get(k, 0.0))).alias("silhouette"), "n_members", "median_birth_year", "examples"

@@ -200,6 +200,54 @@ def test_kmeans_and_silhouette(spark, blobs):
     assert project.select_k(df.limit(2), ["x", "y", "z"], range(4, 6))[0] == 4
 
 
+def test_kmeans_goes_on_until_rows_stay(spark, monkeypatch):
+    """Rows without clusters need more than twenty steps; steps within tasks and steps of passes end at the same centres."""
+    x = np.random.default_rng(5).normal(size=(3000, 4))
+    df, axes = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id int, a double, b double, c double, d double"), ["a", "b", "c", "d"]
+
+    def fitted():
+        got = project.kmeans(df, axes, 5, starts=2).orderBy("id").toPandas()
+        z, of = got[[f"{c}_scaled" for c in axes]].to_numpy(), got["cluster"].to_numpy()
+        means = np.stack([z[of == k].mean(0) for k in range(5)])
+        far = ((z[:, None] - means[None]) ** 2).sum(-1)
+        assert (far[np.arange(len(z)), of] <= far.min(1) + 1e-9).all() and (np.diff(means[:, 0]) <= 0).all()
+        return of
+
+    first = fitted()
+    monkeypatch.setattr(project, "TASK_HOLDS", 0)
+    assert (fitted() == first).all()
+
+
+def test_silhouettes_of_copies_and_many_parts(spark):
+    """Copies are one point that counts as often; 2,500 points meet in parts; clusters of one row and rows without a cluster count 0."""
+    rng = np.random.default_rng(6)
+    few = rng.normal(size=(2500, 2))
+    points = np.concatenate([few, few[:700], few[:700]])
+    labels = np.concatenate([rng.integers(0, 3, 2500), rng.integers(0, 2, 1400)])
+    labels[0] = 9
+    df = spark.createDataFrame([(i, float(p[0]), float(p[1]), int(k)) for i, (p, k) in enumerate(zip(points, labels))], "id int, x double, y double, cluster int")
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    kinds = sorted(set(labels))
+    sums = np.stack([far[:, labels == k].sum(1) for k in kinds], axis=1)
+    n, own = np.array([(labels == k).sum() for k in kinds]), np.array([kinds.index(k) for k in labels])
+    rows = np.arange(len(labels))
+    mine, rest = sums[rows, own] / np.maximum(n[own] - 1, 1), sums / n
+    rest[rows, own] = np.inf
+    s = np.where(n[own] > 1, (rest.min(1) - mine) / np.maximum(rest.min(1), mine), 0.0)
+    assert project.silhouette(df, ["x", "y"]).first().silhouette == pytest.approx(s.mean())
+    wide = df.select("id", "cluster", *[(F.col("x") if i % 2 else F.col("y")).alias(f"w{i}") for i in range(12)])  # distances by a product
+    assert project.silhouette(wide, [f"w{i}" for i in range(12)]).first().silhouette == pytest.approx(s.mean())
+
+
+def test_no_table_is_refused(spark):
+    """Sixty thousand rows, of few points: the measure is exact at any size."""
+    df = spark.range(60_000).select("id", (F.col("id") % 2).cast("int").alias("cluster"), ((F.col("id") % 2) * 4 + F.col("id") % 3).cast("double").alias("x"))
+    assert 0 < project.silhouette(df, ["x"]).first().silhouette < 1
+    assert len(project.select_k(df, ["x"], range(3, 5), starts=2)[1]) == 2
+    with pytest.raises(ValueError):
+        project.silhouette(df, ["x"], most=50_000)
+
+
 def test_report(spark):
     f = seasons(spark).withColumns({"first_name": F.col("canonical_id"), "last_name": F.lit("x"), "goals_per_gp_shrunk": F.lit(0.1), "assists_per_gp_shrunk": F.lit(0.2), "points_per_gp_quality_z": F.col("points_per_gp_quality")})
     coords = f.select("canonical_id", "season", "source", F.lit(0).alias("cluster"), F.lit(1).alias("appearances"), F.lit(1990).alias("birth_year"), F.lit("yes").alias("eligible"))
