@@ -37,7 +37,9 @@ def labelled(df: DataFrame, labels: DataFrame, cluster: str = "cluster") -> Data
 
 def dashboard(showcase: DataFrame, features: DataFrame, coords: DataFrame, paths: DataFrame, analogs: DataFrame, briefs: DataFrame, key: str = "canonical_id") -> DataFrame:
     """A row for each person of the showcase that has features and coordinates, with path, up to three analogs and brief where there are any."""
-    three = analogs.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("rank", "name"))), 1, 3).alias("analogs"))
+    place = F.row_number().over(W.partitionBy(key).orderBy("rank", "name"))  # only the first three of a person of the showcase are gathered
+    three = analogs.select(key, "rank", "name").join(showcase.select(key).distinct(), key, "left_semi").withColumn("__place", place).where("__place <= 3")
+    three = three.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("analogs"))
     out = showcase.join(latest(features), key).join(latest(coords).select(key, "cluster"), key)
     return out.join(paths.select(key, "direction", "d_points_per_gp_quality"), key, "left").join(three, key, "left").join(briefs.select(key, "excerpt"), key, "left").withColumn("has_brief", F.col("excerpt").isNotNull())
 

@@ -249,7 +249,7 @@ def dashboard(spark, sf_dir):
 
     q, coords = _coords(spark, sf_dir)
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("canonical_id"), F.col("c_nationkey").alias("s_nationkey"), "c_acctbal")
-    ranked = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_name").alias("name"), F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("rank"))
+    ranked = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_name").alias("name"), F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("rank")).where("rank <= 3")  # a person's three are the nation's
     analogs = customers.join(ranked, "s_nationkey").select("canonical_id", "rank", "name")
     briefs = customers.where("canonical_id % 2 = 0").select("canonical_id", F.lit("a text").alias("excerpt"))
     got = report.dashboard(customers.where("c_acctbal > 9000").select("canonical_id"), q, coords, compare.trajectory(q, ["points_per_gp_shrunk", "points_per_gp_quality"], one_stint=True), analogs, briefs)

@@ -239,6 +239,18 @@ def test_silhouettes_of_copies_and_many_parts(spark):
     assert project.silhouette(wide, [f"w{i}" for i in range(12)]).first().silhouette == pytest.approx(s.mean())
 
 
+def test_dashboard_gathers_three_analogs_of_the_showcase(spark):
+    """Of persons outside the showcase nothing is gathered, and of the others three."""
+    f = seasons(spark)
+    coords = f.select("canonical_id", "season", "source", F.lit(0).alias("cluster"))
+    analogs = spark.range(4000).select(F.element_at(F.array(F.lit("p"), F.lit("q")), (F.col("id") % 2 + 1).cast("int")).alias("canonical_id"), (4000 - F.col("id")).alias("rank"), F.concat(F.lit("n"), "id").alias("name"))
+    paths = compare.trajectory(f, ["points_per_gp_shrunk", "points_per_gp_quality"])
+    board = report.dashboard(spark.createDataFrame([("p",)], "canonical_id string"), f, coords, paths, analogs, spark.createDataFrame([], "canonical_id string, excerpt string"))
+    assert [a.name for a in board.first().analogs] == ["n3998", "n3996", "n3994"]
+    plan = board._jdf.queryExecution().optimizedPlan().toString()
+    assert "__place" in plan and "LeftSemi" in plan
+
+
 def test_no_table_is_refused(spark):
     """Sixty thousand rows, of few points: the measure is exact at any size."""
     df = spark.range(60_000).select("id", (F.col("id") % 2).cast("int").alias("cluster"), ((F.col("id") % 2) * 4 + F.col("id") % 3).cast("double").alias("x"))
