@@ -335,7 +335,7 @@ def excerpts(spark, sf_dir):
 def tolerance_match(spark, sf_dir):
     left = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("name"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 7).alias("birth_year"))
     right = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("name"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey") % 7).alias("birth_year"), F.col("s_suppkey").cast("string").alias("label"), F.col("s_suppkey").alias("position"))
-    return resolve.tolerance_matches(left, right, "c_custkey").select("c_custkey", "n_matches", F.array_join("matches", ",").alias("matches"))
+    return resolve.tolerance_matches(left, right, "c_custkey", joined_by=",").select("c_custkey", "n_matches", "matches")
 
 
 #: Components of the embeddings.

@@ -112,6 +112,16 @@ def test_tolerance_and_eligibility(spark):
     assert (got[1].e, got[4].e) == ("yes", "unknown")
 
 
+def test_tolerance_gathers_once_for_equal_rows(spark):
+    """Three thousand left rows of two kinds: the join makes rows for the kinds only."""
+    left = spark.range(3000).select(F.col("id").alias("k"), F.lit("x").alias("name"), F.when(F.col("id") % 2 == 0, 1990).alias("birth_year"))
+    right = spark.createDataFrame([("x", 1991, "t2", 2), ("x", None, "t1", 1), ("x", 1995, "t3", 3)], "name string, birth_year int, label string, position int")
+    got = resolve.tolerance_matches(left, right, "k", joined_by=",")
+    assert {(r.k % 2, r.n_matches, r.matches) for r in got.collect()} == {(0, 2, "t1,t2"), (1, 3, "t1,t2,t3")} and got.count() == 3000
+    alone = resolve.tolerance_matches(left.limit(1), right.where("name = 'y'"), "k", joined_by=",").first()
+    assert (alone.n_matches, alone.matches) == (0, "")
+
+
 FEATURES = "canonical_id string, season int, source string, gp double, points_per_gp_shrunk double, points_per_gp_quality double"
 
 
