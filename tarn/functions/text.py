@@ -140,8 +140,13 @@ def round_binary(x, places: int = 2) -> Column:
 
 
 def signed(x, places: int = 2) -> Column:
-    """A number with sign and decimal comma."""
-    return F.replace(F.format_string(f"%+.{places}f", _col(x)), F.lit("."), F.lit(","))
+    """A number with sign and decimal comma, rounded as the binary value that a double is, halves to even; null of null, and a zero has a plus. In Arrow batches."""
+
+    @F.arrow_udf("string")
+    def formatted(v):
+        return pa.array([None if i is None else f"{i + 0.0:+.{places}f}".replace(".", ",") for i in v.to_pylist()], pa.string())
+
+    return formatted(_col(x).cast("double"))
 
 
 def without_tags(x) -> Column:
