@@ -228,6 +228,65 @@ def test_kmeans_goes_on_until_rows_stay(spark, monkeypatch):
     assert (fitted() == first).all()
 
 
+def test_boxes_step_as_points_do(spark, monkeypatch):
+    """Weighted points, copies and lines of equal values among them: a step by boxes has the sums of comparing each point, and a fit without boxes ends at the same."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(size=4000), rng.integers(0, 5, 4000)]).astype(float)
+    x[:50], many = x[0], rng.integers(1, 4, 4000).astype(float)
+    boxes = project._Boxes(x, many, 16).with_moments()
+    for k in (1, 3, 7):
+        centres = x[rng.choice(4000, k)]
+        assert boxes.sums(centres) == pytest.approx(project._sums(x, many, project._squares(x, centres)), abs=1e-8)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id int, a double, b double")
+    fitted = lambda: [r.cluster for r in project.kmeans(df, ["a", "b"], 4, starts=3).orderBy("id").collect()]
+    first = fitted()
+    monkeypatch.setattr(project, "BOXED", 0)
+    assert fitted() == first
+
+
+def test_copies_are_one_point_of_a_fit(spark, monkeypatch):
+    """A table of nine copies of each row is fitted as one of the rows, each counting nine times."""
+    seen = []
+    monkeypatch.setattr(project, "_lloyd_in_tasks", lambda data, *rest, own=project._lloyd_in_tasks: seen.append(data.agg(F.count("*"), F.sum("__n")).first()) or own(data, *rest))
+    df = spark.range(900).select("id", (F.col("id") % 100 * 7 % 41).cast("double").alias("x"), (F.col("id") % 100).cast("double").alias("y"))
+    got = project.kmeans(df, ["x", "y"], 3, starts=2)
+    assert got.count() == 900 and {tuple(r) for r in seen} == {(100, 900.0)}
+    assert got.select(F.col("id") % 100, "cluster").distinct().count() == 100
+
+
+@pytest.mark.parametrize("columns", [["x"], ["x", "y"]])
+def test_silhouettes_by_boxes(spark, monkeypatch, columns):
+    """Points of several clusterings, with copies, lines of equal values, a far point, a cluster of one row and rows without a cluster: as over all pairs."""
+    monkeypatch.setattr(project, "LEAF", 32)
+    rng = np.random.default_rng(9)
+    points = np.column_stack([rng.normal(size=5000), rng.integers(0, 6, 5000)]).astype(float)
+    points[:100], points[100] = points[0], (80.0, 90.0)
+    one, two = (points[:, 0] > 0).astype(int) + (points[:, 0] > 1), rng.integers(0, 3, 5000)
+    one[200] = 7
+    df = spark.createDataFrame([(float(p[0]), float(p[1]), int(a), int(b) if b else None) for p, a, b in zip(points, one, two)], "x double, y double, one int, two int")
+    monkeypatch.setattr(project, "MANY", 10**9)
+    want = project._silhouettes(df, columns, ["one", "two"])
+    monkeypatch.setattr(project, "MANY", 1000)
+    calls = []
+    monkeypatch.setattr(project, "release", lambda points, own=project.release: calls.append(points.count()) or own(points))
+    assert project._silhouettes(df, columns, ["one", "two"]) == pytest.approx(want, abs=1e-11)
+    assert project._silhouettes(df.repartition(3), columns, ["one", "two"]) == pytest.approx(want, abs=1e-11) and len(calls) == 2
+
+
+def test_distances_by_boxes_equal_all_pairs():
+    rng = np.random.default_rng(10)
+    x, many = rng.normal(size=(6000, 2)) * (1.0, 30.0), rng.integers(1, 3, 6000).astype(float)
+    group = (x[:, 0] > 0.3).astype(int)[:, None]
+    tree = project._Boxes(x, many, 48)
+    weights = np.zeros((6000, 2))
+    weights[np.arange(6000), group[:, 0]] = many
+    want, met = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) @ weights, 0
+    for leaf, sums in [*project._distances_by_boxes(tree, group[tree.at], 2, range(0, 50)), *project._distances_by_boxes(tree, group[tree.at], 2, range(50, len(tree.leaves)))]:
+        assert sums == pytest.approx(want[tree.at[leaf * tree.size : (leaf + 1) * tree.size]], rel=1e-10)
+        met += 1
+    assert met == len(tree.leaves) == 128
+
+
 def test_silhouettes_of_copies_and_many_parts(spark):
     """Copies are one point that counts as often; 2,500 points meet in parts; clusters of one row and rows without a cluster count 0."""
     rng = np.random.default_rng(6)
